@@ -28,9 +28,9 @@ class Params:
     sample: int = 20_000
     bits: int = 20
     epochs: int = 3
-    alpha: float = 0.3
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 4.0
     l2: float = 1.0
 
 
