@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.common import small_batches
+
 _WORD = re.compile(r"[^\W_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -133,6 +135,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), key: st
     """
     items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").collect()]
     made = Matcher(items, p)
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +152,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), text: str
     """The rows of ``docs`` in which no item is found."""
     items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").collect()]
     made = Matcher(items, p)
+    small_batches(docs.sparkSession)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

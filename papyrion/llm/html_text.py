@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.common import small_batches
+
 # Frequent function words of the corpus languages.
 STOP_WORDS = frozenset(
     (
@@ -200,5 +202,6 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", page: str
             texts = [main_text(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [key, url, "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(key, F.col(url).cast("string"), F.col(page).cast("string")).mapInArrow(run, f"`{key}` {kind}, `{url}` string, text string, n_chars long")

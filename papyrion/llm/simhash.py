@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import cut
+from papyrion.llm.common import cut, small_batches
 from papyrion.llm.components import components
 
 SEED = 42
@@ -40,6 +40,7 @@ def fingerprint(text: str | None, width: int = 4) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """``(key, fp long)``: one row per row; the fingerprint's 64 bits as a signed long."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from papyrion.llm.common import small_batches
+
 _WORD = re.compile(r"[^\W_]+")
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -76,6 +78,7 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params(), key: str = "do
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("y"))
     chosen = known.withColumn("rank", F.xxhash64(key)).orderBy("rank", key).limit(p.sample)
     texts = docs.select(key, text).join(F.broadcast(chosen), key)
+    small_batches(docs.sparkSession)
     bits = p.bits
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -104,6 +107,7 @@ def score_text(text: str | None, weights: np.ndarray, bias: float, seen: _Hashes
 
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, score)`` per row; null and empty texts get the score of the bias alone."""
+    small_batches(docs.sparkSession)
     at, w, bias = model
     bits, kind = p.bits, docs.schema[key].dataType.simpleString()
 
