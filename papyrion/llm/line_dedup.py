@@ -1,117 +1,174 @@
 """Line deduplication as an exact set-similarity join of all lines of a corpus.
 
 Lines with one token set form a class. Classes meet over the rarest tokens of their sets (prefix
-filter), subject to the positional and length filters, and every remaining pair is verified on its
-tokens. A line goes if an earlier line, in order of document and line number, is similar enough.
+filter), subject to the positional and length filters and to a bound from 128-bit token bitmaps; every
+remaining pair is verified on its tokens. A line goes if an earlier line, in order of document and line
+number, is similar enough. Tokens are compared by 64-bit hashes throughout.
+
+One match decides, so a large group of similar lines never emits all its pairs: first each class meets
+only the earliest class of its dense keys, then what is still undecided meets every earlier class.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import GAP, cut, words
+from papyrion.llm.common import GAP, cut
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17  # codes hold a rank of 17 bits and 46 bits of hash
+MASK_WORDS = 1 << 16
 
 
 @dataclass(frozen=True)
 class Params:
     """Jaccard similarity of at least ``num / den``. Lines of up to ``short`` distinct tokens meet over
-    pairs of prefix tokens, since their single tokens are seldom rare."""
+    pairs of prefix tokens, since their single tokens are seldom rare. Keys that ``dense`` classes or
+    more share are tried against their first class before all others."""
 
     num: int = 4
     den: int = 5
     short: int = 16
+    dense: int = 8
+
+
+def _literal(values: list[int], kind: str) -> Column:
+    """A table of fixed size that travels with the plan."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def rarity(docs: DataFrame, text: str = "text") -> list[int]:
     """For each token hash bucket its rank by how often its tokens occur in the corpus, rarest first."""
-    tokens = docs.select(F.explode(words(F.lower(F.col(text)))).alias("w"))
-    seen = dict(tokens.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).agg(F.count("*").alias("n")).toLocalIterator())  # BUCKETS rows at most
+    tokens = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), GAP)).alias("w")).where("w <> ''")
+    seen = dict(tokens.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")).agg(F.count("*").alias("n")).collect())  # BUCKETS rows at most
     ranks = [0] * BUCKETS
     for rank, b in enumerate(sorted(range(BUCKETS), key=lambda b: (seen.get(b, 0), b))):
         ranks[b] = rank
     return ranks
 
 
-def line_sets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, th, line_no, ws)``: sorted distinct lower-case tokens of each line that has any."""
+def split_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, th, line_no, line)`` in lower case; th is a hash of the whole text."""
     lines = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("th"), F.posexplode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n")).alias("line_no", "line"))
-    ws = F.array_sort(F.array_distinct(F.filter(F.split("line", GAP), lambda w: w != "")))
-    return lines.select("key", "th", "line_no", ws.alias("ws")).where(F.size("ws") > 0)
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def classes(sets: DataFrame, ranks: list[int], p: Params) -> DataFrame:
-    """One row per token set: ``cid, id2, first, n, prefix``; prefix holds the set's rarest tokens as codes."""
-    table = F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
-    code = lambda w: F.shiftleft(F.element_at(table, (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int")).cast("long"), 46).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), 18))
-    n = F.size("ws")
-    keep = n - F.expr(f"cast(({p.num} * size(ws) + {p.den - 1}) div {p.den} as int)") + F.when(n <= p.short, 2).otherwise(1)
-    rows = sets.select(F.xxhash64("ws").alias("cid"), F.xxhash64(F.lit(7), "ws").alias("id2"), F.struct("key", "th", "line_no").alias("at"), n.alias("n"), F.slice(F.sort_array(F.transform("ws", code)), F.lit(1), keep).alias("prefix"))
-    return rows.groupBy("cid", "id2").agg(F.min("at").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+def hashes(line: Column) -> Column:
+    """The hashes of a line's distinct tokens."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(line, GAP), ""), lambda w: F.xxhash64(w)))
 
 
-def candidate_pairs(found: DataFrame, p: Params) -> DataFrame:
-    """``(a, b)``: class ids that share prefix tokens and pass the positional and length filters.
+def classes(lines: DataFrame, ranks: list[int], p: Params) -> DataFrame:
+    """One row per token set: ``cid, id2, first, n, bitmap, bitmap2, prefix``.
 
-    Two classes of which the larger has up to ``short`` tokens share two tokens of their prefixes
-    (one longer than usual); all others share one. Both ways lose no similar pair.
+    A token's code is the rank of its bucket, then its hash, so sorted codes are in order of rarity.
+    The prefix holds the first of them.
+    """
+    table = _literal([r << 46 for r in ranks], "bigint")
+    code = lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 18))
+    n = F.size("cs")
+    keep = n - F.expr(f"cast(({p.num} * size(cs) + {p.den - 1}) div {p.den} as int)") + F.when(n <= p.short, 2).otherwise(1)
+    bits = "aggregate(cs, 0L, (a, c) -> a | if((c & 64) = {0}, shiftleft(1L, cast(c & 63 as int)), 0L))"
+    rows = lines.select("key", "th", "line_no", F.sort_array(F.transform(hashes(F.col("line")), code)).alias("cs")).select(
+        F.xxhash64("cs").alias("cid"),
+        F.xxhash64(F.lit(7), "cs").alias("id2"),
+        F.struct("key", "th", "line_no").alias("at"),
+        n.alias("n"),
+        F.expr(bits.format(0)).alias("bitmap"),
+        F.expr(bits.format(64)).alias("bitmap2"),
+        F.slice("cs", F.lit(1), keep).alias("prefix"),
+    )
+    return rows.groupBy("cid", "id2").agg(F.min("at").alias("first"), *[F.first(c).alias(c) for c in ("n", "bitmap", "bitmap2", "prefix")])
+
+
+def _keys(found: DataFrame, p: Params) -> DataFrame:
+    """One row per class and key: ``token, k, cid, first, n, x, y``. Key sets of similar classes intersect.
+
+    Two classes of which the larger has up to ``short`` tokens share two tokens of their prefixes (one
+    longer than usual), so pairs of tokens are their keys; all others share one, at place ``k``.
     """
     edge = -(-p.short * p.num // p.den)  # the least set that can resemble one of more than `short` tokens
-    usual = F.expr(f"cast(n - (({p.num} * n + {p.den - 1}) div {p.den}) + 1 as int)")
-    single = found.where(F.col("n") >= edge).select("cid", "n", F.posexplode(F.slice("prefix", F.lit(1), usual)).alias("k", "token"))
-    left = single.select(F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("k").alias("k1"), "token")
-    right = single.select(F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("k").alias("k2"), "token")
-    length = F.expr(f"(n1 < n2 or (n1 = n2 and a < b)) and {p.den} * n1 >= {p.num} * n2")
-    place = F.expr(f"{p.num + p.den} * least(n1 - k1, n2 - k2) >= {p.num} * (n1 + n2)")
-    one = left.join(right, "token").where(length & place & (F.col("n2") > p.short)).select("a", "b")
-    twos = F.expr("flatten(transform(prefix, (x, i) -> transform(slice(prefix, i + 2, size(prefix)), y -> xxhash64(x, y))))")
-    pair = found.where(F.col("n") <= p.short).select("cid", "n", F.explode(twos).alias("token"))
-    left = pair.select(F.col("cid").alias("a"), F.col("n").alias("n1"), "token")
-    right = pair.select(F.col("cid").alias("b"), F.col("n").alias("n2"), "token")
-    two = left.join(right, "token").where(length).select("a", "b")
-    return one.union(two).distinct()
-
-
-def links(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(classes, links)``: one row per token set, and ``(a, b)`` of similar sets by their first lines."""
-    sets = line_sets(docs, key, text)
-    found = cut(classes(sets, rarity(docs, text), p), "classes")
-    pairs = cut(candidate_pairs(found, p), "pairs")
+    single = f"if(n >= {edge}, transform(slice(prefix, 1, cast(n - (({p.num} * n + {p.den - 1}) div {p.den}) + 1 as int)), (t, i) -> struct(t as token, i as k)), array())"
+    pairs = f"if(n <= {p.short}, flatten(transform(prefix, (a, i) -> transform(slice(prefix, i + 2, size(prefix)), b -> struct(xxhash64(a, b) as token, 0 as k)))), array())"
+    rows = found.select("cid", "first", "n", F.col("bitmap").alias("x"), F.col("bitmap2").alias("y"), F.explode(F.expr(f"concat({single}, {pairs})")).alias("t"))
+    return rows.select("t.token", "t.k", "cid", "first", "n", "x", "y")
+
+
+def _may_match(p: Params) -> Column:
+    """Length, positional and bitmap filters between two key rows ``l`` (earlier) and ``r``.
+
+    Sets that differ in m tokens have bitmaps that differ in m bits at most.
+    """
+    small, large, both = "least(l.n, r.n)", "greatest(l.n, r.n)", "(l.n + r.n)"
+    return F.expr(
+        f"l.first < r.first and {p.den} * {small} >= {p.num} * {large} and {p.num + p.den} * least(l.n - l.k, r.n - r.k) >= {p.num} * {both} "
+        f"and {p.num + p.den} * (bit_count(l.x ^ r.x) + bit_count(l.y ^ r.y)) <= {p.den - p.num} * {both}"
+    )
+
+
+def _met(left: DataFrame, right: DataFrame, p: Params) -> DataFrame:
+    """``(a, b)``: class b and an earlier class a that it shares a key with and may match."""
+    joined = left.alias("l").join(right.alias("r"), F.expr("l.token = r.token") & _may_match(p))
+    return joined.select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
+
+
+def _place(c: str = "") -> Column:
+    return F.xxhash64(f"{c}key", f"{c}th", f"{c}line_no")
+
+
+def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(first1, first2)``: the pairs whose token sets are similar enough, by the first lines of their classes.
+
+    Only first lines of classes with candidates are read again: a bit mask of fixed size over their
+    places spares the others, and a join drops what the mask lets through by chance.
+    """
     ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    first = found.join(ids, "cid", "left_semi").select("cid", "id2", "first.*")
-    # the tokens of the first line of each class that has a candidate; equal rows hold equal lines
-    on = sets["key"].eqNullSafe(first["key"]) & (sets["th"] == first["th"]) & (sets["line_no"] == first["line_no"])
-    tokens = sets.join(first, on).select("cid", "id2", F.struct(first["key"], first["th"], first["line_no"]).alias("first"), "ws").groupBy("cid", "id2", "first").agg(F.first("ws").alias("ws"))
-    tokens = cut(tokens, "tokens")
+    first = cut(found.join(ids, "cid", "left_semi").select("cid", "id2", "first.*"), "firsts")
+    word = F.shiftrightunsigned(_place(), 6).bitwiseAND(F.lit(MASK_WORDS - 1)).cast("int")
+    bit = _place().bitwiseAND(F.lit(63)).cast("int")
+    bits = dict(first.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("m")).collect())  # MASK_WORDS rows at most
+    mask = _literal([bits.get(w, 0) for w in range(MASK_WORDS)], "bigint")
+    maybe = split_lines(docs, key, text).where(F.call_function("shiftrightunsigned", F.get(mask, word), bit).bitwiseAND(F.lit(1).cast("long")) == 1)
+    on = maybe["key"].eqNullSafe(first["key"]) & (maybe["th"] == first["th"]) & (maybe["line_no"] == first["line_no"])
+    met = maybe.join(first, on).select("cid", "id2", F.struct(first["key"], first["th"], first["line_no"]).alias("first"), hashes(F.col("line")).alias("ws"))
+    # repeated rows of one key and text hold equal lines
+    tokens = cut(met.groupBy("cid", "id2", "first").agg(F.first("ws").alias("ws")), "tokens")
     one = tokens.select(F.col("cid").alias("a"), F.col("first").alias("first1"), F.col("ws").alias("ws1"))
     two = tokens.select(F.col("cid").alias("b"), F.col("first").alias("first2"), F.col("ws").alias("ws2"))
     both = pairs.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("ws1", "ws2")))
-    good = both.where(F.expr(f"{p.den} * o >= {p.num} * (size(ws1) + size(ws2) - o)"))
-    return found, good.select("first1", "first2")
+    return both.where(F.expr(f"{p.den} * o >= {p.num} * (size(ws1) + size(ws2) - o)")).select("first1", "first2").distinct()
+
+
+def matched(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(classes, matches)``: all token sets, and ``(first, earlier)`` of those with a similar earlier set."""
+    found = cut(classes(split_lines(docs, key, text), rarity(docs, text), p), "classes")
+    keys = _keys(found, p)
+    row = F.struct("first", "cid", "n", "k", "x", "y")
+    hubs = keys.groupBy("token").agg(F.min(row).alias("h"), F.count("*").alias("m")).where(F.col("m") >= p.dense).select("token", "h.*")
+    star = cut(_met(hubs, keys, p), "star")
+    first = cut(verified(docs, found, star, p, key, text), "matched").select(F.col("first2").alias("first"), F.col("first1").alias("earlier"))
+    open_ = found.join(first.select("first").distinct(), "first", "left_anti")
+    rest = cut(_met(keys, _keys(open_, p), p).join(star, ["a", "b"], "left_anti"), "rest")
+    more = verified(docs, found, rest, p, key, text).select(F.col("first2").alias("first"), F.col("first1").alias("earlier"))
+    return found, first.union(more).groupBy("first").agg(F.min("earlier").alias("earlier"))
 
 
 def dedup(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, th, n_lines, kept_lines, n_links)`` per distinct (key, text): line numbers that stay.
+    """``(key, th, n_lines, kept_lines)`` per distinct (key, text): line numbers that stay.
 
     Order is by key (null first), then by a hash of the text, then by line number; rows that repeat key
-    and text count once. Lines without tokens are neither counted nor removed. ``n_links`` counts the
-    links of the classes that start in the document.
+    and text count once. A line goes if any earlier line is similar enough, whether that one stays or
+    not. Lines without tokens are neither counted nor removed.
     """
-    found, good = links(docs, p, key, text)
-    ends = good.select(F.col("first1").alias("first"), F.col("first2").alias("other")).union(good.select(F.col("first2").alias("first"), F.col("first1").alias("other")))
-    each = ends.groupBy("first").agg(F.min("other").alias("least"), F.count("*").alias("links"))
-    heads = found.select("first").join(each, "first", "left")
-    stays = F.col("least").isNull() | (F.col("first") < F.col("least"))
-    rows = heads.select("first.key", "first.th", F.when(stays, F.col("first.line_no")).alias("line_no"), F.coalesce("links", F.lit(0)).alias("links"))
-    kept = rows.groupBy("key", "th").agg(F.sort_array(F.collect_list("line_no")).alias("kept_lines"), F.sum("links").alias("n_links"))
+    found, gone = matched(docs, p, key, text)
+    heads = found.select("first").join(gone.select("first"), "first", "left_anti").select("first.*")
+    kept = heads.groupBy("key", "th").agg(F.sort_array(F.collect_list("line_no")).alias("kept_lines"))
     body = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     base = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__th"), F.size(F.filter(body, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines")).distinct()
     joined = base.join(kept, base["__key"].eqNullSafe(kept["key"]) & (base["__th"] == kept["th"]), "left")
-    return joined.select(F.col("__key").alias(key), F.col("__th").alias("th"), "n_lines", F.coalesce("kept_lines", F.array().cast("array<int>")).alias("kept_lines"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return joined.select(F.col("__key").alias(key), F.col("__th").alias("th"), "n_lines", F.coalesce("kept_lines", F.array().cast("array<int>")).alias("kept_lines"))
 
 
 def clean_documents(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -124,6 +181,6 @@ def clean_documents(docs: DataFrame, p: Params = Params(), key: str = "doc_id",
 
 
 def report(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Per document: ``doc_id, n_lines, n_kept, n_removed, n_links, kept_lines``."""
+    """Per document: ``doc_id, n_lines, n_kept, n_removed, kept_lines``."""
     n = F.size("kept_lines").cast("long")
-    return dedup(docs, p).select("doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_removed"), "n_links", "kept_lines")
+    return dedup(docs, p).select("doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_removed"), "kept_lines")

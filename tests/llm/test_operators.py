@@ -519,8 +519,8 @@ def test_lines_random(spark):
         return " ".join(w)
 
     rows = [(i, "\n".join(vary() for _ in range(rng.randrange(6)))) for i in range(150)]
-    for short in (0, 8, 16, 40):
-        got = {r.doc_id: list(r.kept_lines) for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.Params(short=short)).collect()}
+    for short, dense in ((0, 2), (8, 4), (16, 8), (40, 1000)):
+        got = {r.doc_id: list(r.kept_lines) for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string"), line_dedup.Params(short=short, dense=dense)).collect()}
         assert got == slow_lines(rows), short
 
 
