@@ -18,7 +18,7 @@ METRICS = {
     "word_length": ("(1000 * word_chars) div greatest(n_words, 1L)", 1000, True),
     "symbols": ("(1000 * n_symbols) div greatest(n_words, 1L)", 25, False),
     "dup_lines": ("(1000 * n_dup_lines) div greatest(n_lines, 1L)", 60, False),
-    "repeats": ("(1000 * n_repeat_words) div greatest(n_words, 1L)", 50, False),
+    "repeats": ("(1000 * n_repeat_words) div greatest(n_words, 1L)", 85, False),
 }
 
 
