@@ -25,15 +25,17 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 
 @dataclass(frozen=True)
 class Params:
-    """``sample``: labelled rows to train on at most; ``bits``: log2 of the weights there may be."""
+    """``sample``: labelled rows to train on at most; ``bits``: log2 of the weights there may be;
+    ``positive``: how much more a toxic row weighs than a clean one, being rarer."""
 
     sample: int = 20_000
     bits: int = 20
-    epochs: int = 3
+    epochs: int = 2
     alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 4.0
+    l1: float = 6.0
     l2: float = 1.0
+    positive: float = 2.0
 
 
 class _Hashes(dict):
@@ -61,6 +63,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, p: Params = Params()) -> tuple[
             zx, nx = z[x], n[x]
             w = np.where(np.abs(zx) > p.l1, -(zx - np.sign(zx) * p.l1) / ((p.beta + np.sqrt(nx)) / p.alpha + p.l2), 0.0)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35))) - t
+            g *= p.positive if t else 1.0
             z[x] = zx + g - (np.sqrt(nx + g * g) - np.sqrt(nx)) / p.alpha * w
             n[x] = nx + g * g
             bias_n += g * g
