@@ -1,7 +1,8 @@
 """Pattern and number helpers shared by all operators.
 
 Patterns are written with ASCII word boundaries in mind. Java's ``\\b`` follows Unicode, so
-:func:`rx` spells it out with look-arounds; ``(?u)`` extends case folding where ``i`` asks for it.
+:func:`rx` spells it out with look-arounds. Case is folded for ASCII letters only: no other letter
+folds to one of them, and the patterns hold no others.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ def rx(pattern: str, flags: str = "") -> str:
         else:
             out.append(pattern[i])
             i += 1
-    flags += "u" if "i" in flags else ""
     # a plain $ also matches before a final line feed in Java, which ^..$ rules must not
     body = "".join(out)
     if "m" not in flags and body.endswith("$") and not body.endswith(r"\$"):
