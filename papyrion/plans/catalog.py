@@ -423,12 +423,10 @@ def chart_series(spark, sf_dir):
     return store.chart_series(table(spark, sf_dir, "part"), {"p_name": "text", "p_retailprice": "currency"}, "p_retailprice", "p_partkey")
 
 
-@query("select c_custkey, c_mktsegment, c_acctbal, row_number() over (order by c_acctbal desc, c_custkey)::bigint as place from customer")
+@query("select c_custkey, c_mktsegment, c_acctbal from customer order by c_acctbal desc, c_custkey")
 def sorted_table(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    ranked = store.sort_rows(c, [("c_acctbal", "currency", True), ("c_custkey", "number", False)])
-    # the sort is distributed; a running number needs the rows per partition first
-    return ranked.select("c_custkey", "c_mktsegment", "c_acctbal", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long").alias("place"))
+    return store.sort_rows(c, [("c_acctbal", "currency", True), ("c_custkey", "number", False)]).select("c_custkey", "c_mktsegment", "c_acctbal")
 
 
 @query("select count(*) * 400 as n_bytes, least(100, floor(count(*) * 400 / (5 * 1024 * 1024.0) * 100 + 0.5))::bigint as percent from documents")
