@@ -61,10 +61,10 @@ def hashes(line: Column) -> Column:
 
 
 def classes(lines: DataFrame, ranks: list[int], p: Params) -> DataFrame:
-    """One row per token set: ``cid, id2, first, n, bitmap, bitmap2, prefix``.
+    """One row per token set: ``ord, first, n, x, y, prefix``; ``ord`` follows the order of the first lines.
 
     A token's code is the rank of its bucket, then its hash, so sorted codes are in order of rarity.
-    The prefix holds the first of them.
+    The prefix holds the first of them, x and y are bitmaps of all.
     """
     table = _literal([r << 46 for r in ranks], "bigint")
     code = lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 18))
@@ -76,15 +76,16 @@ def classes(lines: DataFrame, ranks: list[int], p: Params) -> DataFrame:
         F.xxhash64(F.lit(7), "cs").alias("id2"),
         F.struct("key", "th", "line_no").alias("at"),
         n.alias("n"),
-        F.expr(bits.format(0)).alias("bitmap"),
-        F.expr(bits.format(64)).alias("bitmap2"),
+        F.expr(bits.format(0)).alias("x"),
+        F.expr(bits.format(64)).alias("y"),
         F.slice("cs", F.lit(1), keep).alias("prefix"),
     )
-    return rows.groupBy("cid", "id2").agg(F.min("at").alias("first"), *[F.first(c).alias(c) for c in ("n", "bitmap", "bitmap2", "prefix")])
+    sets = rows.groupBy("cid", "id2").agg(F.min("at").alias("first"), *[F.first(c).alias(c) for c in ("n", "x", "y", "prefix")])
+    return sets.drop("cid", "id2").orderBy("first").withColumn("ord", F.monotonically_increasing_id())
 
 
 def _keys(found: DataFrame, p: Params) -> DataFrame:
-    """One row per class and key: ``token, k, cid, first, n, x, y``. Key sets of similar classes intersect.
+    """One row per class and key: ``token, k, ord, n, x, y``. Key sets of similar classes intersect.
 
     Two classes of which the larger has up to ``short`` tokens share two tokens of their prefixes (one
     longer than usual), so pairs of tokens are their keys; all others share one, at place ``k``.
@@ -92,8 +93,7 @@ def _keys(found: DataFrame, p: Params) -> DataFrame:
     edge = -(-p.short * p.num // p.den)  # the least set that can resemble one of more than `short` tokens
     single = f"if(n >= {edge}, transform(slice(prefix, 1, cast(n - (({p.num} * n + {p.den - 1}) div {p.den}) + 1 as int)), (t, i) -> struct(t as token, i as k)), array())"
     pairs = f"if(n <= {p.short}, flatten(transform(prefix, (a, i) -> transform(slice(prefix, i + 2, size(prefix)), b -> struct(xxhash64(a, b) as token, 0 as k)))), array())"
-    rows = found.select("cid", "first", "n", F.col("bitmap").alias("x"), F.col("bitmap2").alias("y"), F.explode(F.expr(f"concat({single}, {pairs})")).alias("t"))
-    return rows.select("t.token", "t.k", "cid", "first", "n", "x", "y")
+    return found.select("ord", "n", "x", "y", F.explode(F.expr(f"concat({single}, {pairs})")).alias("t")).select("t.token", "t.k", "ord", "n", "x", "y")
 
 
 def _may_match(p: Params) -> Column:
@@ -103,7 +103,7 @@ def _may_match(p: Params) -> Column:
     """
     small, large, both = "least(l.n, r.n)", "greatest(l.n, r.n)", "(l.n + r.n)"
     return F.expr(
-        f"l.first < r.first and {p.den} * {small} >= {p.num} * {large} and {p.num + p.den} * least(l.n - l.k, r.n - r.k) >= {p.num} * {both} "
+        f"l.ord < r.ord and {p.den} * {small} >= {p.num} * {large} and {p.num + p.den} * least(l.n - l.k, r.n - r.k) >= {p.num} * {both} "
         f"and {p.num + p.den} * (bit_count(l.x ^ r.x) + bit_count(l.y ^ r.y)) <= {p.den - p.num} * {both}"
     )
 
@@ -111,48 +111,49 @@ def _may_match(p: Params) -> Column:
 def _met(left: DataFrame, right: DataFrame, p: Params) -> DataFrame:
     """``(a, b)``: class b and an earlier class a that it shares a key with and may match."""
     joined = left.alias("l").join(right.alias("r"), F.expr("l.token = r.token") & _may_match(p))
-    return joined.select(F.col("l.cid").alias("a"), F.col("r.cid").alias("b")).distinct()
+    return joined.select(F.col("l.ord").alias("a"), F.col("r.ord").alias("b")).distinct()
 
 
-def _place(c: str = "") -> Column:
-    return F.xxhash64(f"{c}key", f"{c}th", f"{c}line_no")
+def _hubs(keys: DataFrame, p: Params) -> DataFrame:
+    """The key rows of the earliest class of each dense key."""
+    dense = keys.groupBy("token").agg(F.min("ord").alias("hub"), F.count("*").alias("m")).where(F.col("m") >= p.dense)
+    # written as a difference, the second condition leaves both sides dealt by token alone
+    return keys.alias("k").join(dense.alias("d"), F.expr("k.token = d.token and k.ord - d.hub = 0")).select("k.*")
+
+
+def _place() -> Column:
+    return F.xxhash64("key", "th", "line_no")
 
 
 def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(first1, first2)``: the pairs whose token sets are similar enough, by the first lines of their classes.
+    """``(ord)`` of the classes b for which some pair's token sets are similar enough.
 
     Only first lines of classes with candidates are read again: a bit mask of fixed size over their
     places spares the others, and a join drops what the mask lets through by chance.
     """
-    ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-    first = cut(found.join(ids, "cid", "left_semi").select("cid", "id2", "first.*"), "firsts")
+    ids = pairs.select(F.col("a").alias("ord")).union(pairs.select(F.col("b").alias("ord"))).distinct()
+    first = cut(found.select("ord", "first.*").join(ids, "ord", "left_semi"), "firsts")
     word = F.shiftrightunsigned(_place(), 6).bitwiseAND(F.lit(MASK_WORDS - 1)).cast("int")
     bit = _place().bitwiseAND(F.lit(63)).cast("int")
     bits = dict(first.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("m")).collect())  # MASK_WORDS rows at most
     mask = _literal([bits.get(w, 0) for w in range(MASK_WORDS)], "bigint")
     maybe = split_lines(docs, key, text).where(F.call_function("shiftrightunsigned", F.get(mask, word), bit).bitwiseAND(F.lit(1).cast("long")) == 1)
     on = maybe["key"].eqNullSafe(first["key"]) & (maybe["th"] == first["th"]) & (maybe["line_no"] == first["line_no"])
-    met = maybe.join(first, on).select("cid", "id2", F.struct(first["key"], first["th"], first["line_no"]).alias("first"), hashes(F.col("line")).alias("ws"))
     # repeated rows of one key and text hold equal lines
-    tokens = cut(met.groupBy("cid", "id2", "first").agg(F.first("ws").alias("ws")), "tokens")
-    one = tokens.select(F.col("cid").alias("a"), F.col("first").alias("first1"), F.col("ws").alias("ws1"))
-    two = tokens.select(F.col("cid").alias("b"), F.col("first").alias("first2"), F.col("ws").alias("ws2"))
+    tokens = cut(maybe.join(first, on).select("ord", hashes(F.col("line")).alias("ws")).groupBy("ord").agg(F.first("ws").alias("ws")), "tokens")
+    one, two = tokens.select(F.col("ord").alias("a"), F.col("ws").alias("ws1")), tokens.select(F.col("ord").alias("b"), F.col("ws").alias("ws2"))
     both = pairs.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("ws1", "ws2")))
-    return both.where(F.expr(f"{p.den} * o >= {p.num} * (size(ws1) + size(ws2) - o)")).select("first1", "first2").distinct()
+    return both.where(F.expr(f"{p.den} * o >= {p.num} * (size(ws1) + size(ws2) - o)")).select(F.col("b").alias("ord")).distinct()
 
 
 def matched(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(classes, matches)``: all token sets, and ``(first, earlier)`` of those with a similar earlier set."""
+    """``(classes, matches)``: all token sets, and ``(ord)`` of those that resemble an earlier set."""
     found = cut(classes(split_lines(docs, key, text), rarity(docs, text), p), "classes")
     keys = _keys(found, p)
-    row = F.struct("first", "cid", "n", "k", "x", "y")
-    hubs = keys.groupBy("token").agg(F.min(row).alias("h"), F.count("*").alias("m")).where(F.col("m") >= p.dense).select("token", "h.*")
-    star = cut(_met(hubs, keys, p), "star")
-    first = cut(verified(docs, found, star, p, key, text), "matched").select(F.col("first2").alias("first"), F.col("first1").alias("earlier"))
-    open_ = found.join(first.select("first").distinct(), "first", "left_anti")
-    rest = cut(_met(keys, _keys(open_, p), p).join(star, ["a", "b"], "left_anti"), "rest")
-    more = verified(docs, found, rest, p, key, text).select(F.col("first2").alias("first"), F.col("first1").alias("earlier"))
-    return found, first.union(more).groupBy("first").agg(F.min("earlier").alias("earlier"))
+    star = cut(_met(_hubs(keys, p), keys, p), "star")
+    first = cut(verified(docs, found, star, p, key, text), "matched")
+    rest = cut(_met(keys, _keys(found.join(first, "ord", "left_anti"), p), p).join(star, ["a", "b"], "left_anti"), "rest")
+    return found, first.union(verified(docs, found, rest, p, key, text))
 
 
 def dedup(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,7 +164,7 @@ def dedup(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str
     not. Lines without tokens are neither counted nor removed.
     """
     found, gone = matched(docs, p, key, text)
-    heads = found.select("first").join(gone.select("first"), "first", "left_anti").select("first.*")
+    heads = found.select("ord", "first.*").join(gone, "ord", "left_anti")
     kept = heads.groupBy("key", "th").agg(F.sort_array(F.collect_list("line_no")).alias("kept_lines"))
     body = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     base = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__th"), F.size(F.filter(body, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines")).distinct()
