@@ -1,14 +1,15 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one cuts a page into blocks and decides each by its place in the page, its stop-word density, its
-length and its link density. Short blocks that none of these decide are left open; pass two gives them
-the label of the nearest decided neighbour.
+Pass one cuts a page into blocks and decides each by its stop-word density, its length and its link
+density; its place in the page shifts what these must reach. Blocks that none of these decide are left
+open; pass two gives them the label of the nearest decided neighbour.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -149,42 +150,58 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
     return out
 
 
+def _first(text: str, linked: int, inside: bool, min_chars: int, long_chars: int, low: float, high: float, max_links: float, outside: bool) -> bool | None:
+    """Pass one for a block that is no furniture. Place never decides: less is asked ``inside`` the article, more ``outside`` one."""
+    if linked / len(text) > (0.6 if inside else max_links):
+        return False
+    if len(text) < min_chars:
+        return None
+    w = _WORD.findall(text.lower())
+    stop = sum(x in STOP_WORDS for x in w) / max(1, len(w))
+    if outside:
+        return True if stop >= high and len(text) >= long_chars else None if stop >= low else False
+    if stop >= high or (stop >= low and (inside or len(text) >= long_chars)):
+        return True
+    return None if stop >= low or inside else False
+
+
 def labels(found: list[tuple[str, int, bool, bool, bool]], min_chars: int = 70, long_chars: int = 200, low: float = 0.15, high: float = 0.3, max_links: float = 0.33) -> list[bool]:
-    """Which blocks are article text. Lengths are code points, densities shares of words or characters."""
-    scoped = any(s and not b for _, _, b, s, _ in found)
-    first: list[bool | None] = []
-    for text, linked, bad, scope, _ in found:
-        density = linked / len(text)
-        if bad or (scoped and not scope):
-            first.append(False)
-        elif scoped:
-            first.append(density <= 0.6)
-        elif density > max_links:
-            first.append(False)
-        elif len(text) < min_chars:
-            first.append(None)
-        else:
-            w = _WORD.findall(text.lower())
-            stop = sum(x in STOP_WORDS for x in w) / max(1, len(w))
-            first.append(True if stop >= high or (stop >= low and len(text) >= long_chars) else None if stop >= low else False)
-    decided = [i for i, x in enumerate(first) if x is not None]
-    if not any(first[i] for i in decided):  # nothing was long enough to decide: short pages are all text but for furniture
-        return [x is None or x for x in first]
-    out, k = [], 0
+    """Which blocks are article text. Lengths are code points, densities shares of words or characters.
+
+    Article elements count as the article's place where they hold at least half of what the words find;
+    otherwise they are teasers or quotes, and their blocks are decided like all others.
+    """
+    limits = (min_chars, long_chars, low, high, max_links)
+    first: list[bool | None] = [False if bad else _first(text, linked, False, *limits, False) for text, linked, bad, _, _ in found]
+    for kind in (True, None):  # where nothing is long enough to decide, the open blocks are weighed
+        weight = [sum(len(b[0]) for b, x in zip(found, first, strict=True) if x is kind and b[3] is s) for s in (False, True)]
+        if any(weight):
+            break
+    placed = weight[1] > 0 and weight[1] >= weight[0]
+    if placed:
+        first = [False if bad else _first(text, linked, scope, *limits, not scope) for text, linked, bad, scope, _ in found]
+    if not any(first):  # short pages are all text but for furniture and what lies beside the article
+        return [x is None and (b[3] or not placed) for b, x in zip(found, first, strict=True)]
+    # furniture says nothing about its neighbours
+    decided = [i for i, x in enumerate(first) if x is not None and not found[i][2]]
+    within = [i for i in decided if found[i][3]]
+    out = []
     for i, x in enumerate(first):
-        while k < len(decided) and decided[k] < i:
-            k += 1
         if x is not None:
             out.append(x)
             continue
-        before = decided[k - 1] if k else None
-        after = decided[k] if k < len(decided) else None
+        inside = placed and found[i][3]
+        near = within if inside else decided
+        # short blocks beside the article inherit nothing from it
+        short = placed and not inside and len(found[i][0]) < min_chars
+        k = bisect(near, i)
+        before, after = ((bool(first[j]) and not (short and found[j][3]), abs(i - j)) if j is not None else None for j in (near[k - 1] if k else None, near[k] if k < len(near) else None))
         if before is None or after is None:
-            out.append(bool(first[after if before is None else before]))
-        elif i - before == after - i:  # a tie: headings belong to what follows, other blocks need both
-            out.append(bool(first[after]) if found[i][4] else bool(first[before] and first[after]))
+            out.append((before or after or (inside, 0))[0])
+        elif before[1] == after[1]:  # a tie: headings belong to what follows, paragraphs inside the article need one, other blocks both
+            out.append(after[0] if found[i][4] else (before[0] or after[0]) if inside and len(found[i][0]) >= min_chars else before[0] and after[0])
         else:
-            out.append(bool(first[before if i - before < after - i else after]))
+            out.append(min(before, after, key=lambda v: v[1])[0])
     return out
 
 

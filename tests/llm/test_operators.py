@@ -224,6 +224,16 @@ def test_html_pages(spark, sf):
         assert r.n_chars == len(r.text) and not re.search(r"[ \t]{2}|\n\n|<p>", r.text)
 
 
+def test_html_article_elements_do_not_decide_alone():
+    body = "This is the text of the article and it has the words that we look for in all of the blocks here."
+    cards = "<article><h3><a href=1>A card</a></h3><p>All the best of it.</p></article>" * 2
+    page = f"<div class=wrap><h1>Title</h1><div>{body}</div><div>Short</div><div>{body * 3}</div></div><div>{cards}</div>"
+    assert html_text.main_text(page).startswith(f"Title\n{body}\nShort\n{body * 3}")
+    other = "qwrt zxcv bnmp lkjh gfds poiu ytre wqas dfgh jklz xcvb nmqw erty uiop asdf " * 3
+    page = f"<div>Slogan</div><article><h1>Title</h1><p>{body}</p><p>{other}</p><p>Share <a href=1>here or there</a></p><p>{body}</p><p>{body}</p><p>End.</p></article><div>{body * 3}</div><footer>x</footer>"
+    assert html_text.main_text(page) == f"Title\n{body}\n{other.strip()}\n{body}\n{body}\nEnd.\n{body * 3}"
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<p>a<", "</div></p>", "<!-- open", "<script>never closed", "plain words", "<a b='>x", "&#0;&bogus;<p>&lt;"])
 def test_html_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
