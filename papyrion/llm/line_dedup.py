@@ -5,8 +5,8 @@ filter), subject to the positional and length filters and to a bound from 128-bi
 remaining pair is verified on its tokens. A line goes if an earlier line, in order of document and line
 number, is similar enough. Tokens are compared by 64-bit hashes throughout.
 
-One match decides, so a large group of similar lines never emits all its pairs: first each class meets
-only the earliest class of its dense keys, then what is still undecided meets every earlier class.
+All links between similar classes are found: first each class meets the earliest class of its dense
+keys, then every other earlier class. Lines with one token set are one class and need no links.
 """
 
 from __future__ import annotations
@@ -60,20 +60,28 @@ def hashes(line: Column) -> Column:
     return F.array_distinct(F.transform(F.array_remove(F.split(line, GAP), ""), lambda w: F.xxhash64(w)))
 
 
+def coded(lines: DataFrame, ranks: list[int]) -> DataFrame:
+    """``(key, th, line_no, cs)``: a token's code is the rank of its bucket, then its hash, so sorted codes are in order of rarity."""
+    table = _literal([r << 46 for r in ranks], "bigint")
+    code = lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 18))
+    return lines.select("key", "th", "line_no", F.sort_array(F.transform(hashes(F.col("line")), code)).alias("cs"))
+
+
+def _ids() -> list[Column]:
+    """The 128 bits that tell token sets apart."""
+    return [F.xxhash64("cs").alias("cid"), F.xxhash64(F.lit(7), "cs").alias("id2")]
+
+
 def classes(lines: DataFrame, ranks: list[int], p: Params) -> DataFrame:
-    """One row per token set: ``ord, first, n, x, y, prefix``; ``ord`` follows the order of the first lines.
+    """One row per token set: ``cid, id2, first, n, x, y, prefix, ord``; ``ord`` follows the order of the first lines.
 
-    A token's code is the rank of its bucket, then its hash, so sorted codes are in order of rarity.
-    The prefix holds the first of them, x and y are bitmaps of all.
+    The prefix holds the rarest codes, x and y are bitmaps of all; cid and id2 are hashes of the set.
     """
-    table = _literal([r << 46 for r in ranks], "bigint")
-    code = lambda h: F.get(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 18))
     n = F.size("cs")
     keep = n - F.expr(f"cast(({p.num} * size(cs) + {p.den - 1}) div {p.den} as int)") + F.when(n <= p.short, 2).otherwise(1)
     bits = "aggregate(cs, 0L, (a, c) -> a | if((c & 64) = {0}, shiftleft(1L, cast(c & 63 as int)), 0L))"
-    rows = lines.select("key", "th", "line_no", F.sort_array(F.transform(hashes(F.col("line")), code)).alias("cs")).select(
-        F.xxhash64("cs").alias("cid"),
-        F.xxhash64(F.lit(7), "cs").alias("id2"),
+    rows = coded(lines, ranks).select(
+        *_ids(),
         F.struct("key", "th", "line_no").alias("at"),
         n.alias("n"),
         F.expr(bits.format(0)).alias("x"),
@@ -81,7 +89,7 @@ def classes(lines: DataFrame, ranks: list[int], p: Params) -> DataFrame:
         F.slice("cs", F.lit(1), keep).alias("prefix"),
     )
     sets = rows.groupBy("cid", "id2").agg(F.min("at").alias("first"), *[F.first(c).alias(c) for c in ("n", "x", "y", "prefix")])
-    return sets.drop("cid", "id2").orderBy("first").withColumn("ord", F.monotonically_increasing_id())
+    return sets.orderBy("first").withColumn("ord", F.monotonically_increasing_id())
 
 
 def _keys(found: DataFrame, p: Params) -> DataFrame:
@@ -126,7 +134,7 @@ def _place() -> Column:
 
 
 def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, p: Params, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(ord)`` of the classes b for which some pair's token sets are similar enough.
+    """``(a, b)`` of the pairs whose token sets are similar enough.
 
     Only first lines of classes with candidates are read again: a bit mask of fixed size over their
     places spares the others, and a join drops what the mask lets through by chance.
@@ -143,17 +151,33 @@ def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, p: Params, key
     tokens = cut(maybe.join(first, on).select("ord", hashes(F.col("line")).alias("ws")).groupBy("ord").agg(F.first("ws").alias("ws")), "tokens")
     one, two = tokens.select(F.col("ord").alias("a"), F.col("ws").alias("ws1")), tokens.select(F.col("ord").alias("b"), F.col("ws").alias("ws2"))
     both = pairs.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect("ws1", "ws2")))
-    return both.where(F.expr(f"{p.den} * o >= {p.num} * (size(ws1) + size(ws2) - o)")).select(F.col("b").alias("ord")).distinct()
+    return both.where(F.expr(f"{p.den} * o >= {p.num} * (size(ws1) + size(ws2) - o)")).select("a", "b")
 
 
-def matched(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(classes, matches)``: all token sets, and ``(ord)`` of those that resemble an earlier set."""
-    found = cut(classes(split_lines(docs, key, text), rarity(docs, text), p), "classes")
+def matched(docs: DataFrame, ranks: list[int], p: Params = Params(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """``(classes, links)``: all token sets, and every pair ``(a, b)`` of similar ones by ``ord``, a before b."""
+    found = cut(classes(split_lines(docs, key, text), ranks, p), "classes")
     keys = _keys(found, p)
     star = cut(_met(_hubs(keys, p), keys, p), "star")
-    first = cut(verified(docs, found, star, p, key, text), "matched")
-    rest = cut(_met(keys, _keys(found.join(first, "ord", "left_anti"), p), p).join(star, ["a", "b"], "left_anti"), "rest")
-    return found, first.union(verified(docs, found, rest, p, key, text))
+    first = verified(docs, found, star, p, key, text)
+    rest = cut(_met(keys, keys, p).join(star, ["a", "b"], "left_anti"), "rest")
+    return found, cut(first.union(verified(docs, found, rest, p, key, text)), "links")
+
+
+def links(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(class_a, class_b)``: every link between different token sets, once, the earlier one first."""
+    found, pairs = matched(docs, rarity(docs, text), p, key, text)
+    one, two = found.select(F.col("ord").alias("a"), F.col("cid").alias("class_a")), found.select(F.col("ord").alias("b"), F.col("cid").alias("class_b"))
+    return pairs.join(one, "a").join(two, "b").select("class_a", "class_b")
+
+
+def members(docs: DataFrame, found: DataFrame, pairs: DataFrame, ranks: list[int], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(key, th, lines)``: for each line with tokens its number, its class and how many other classes that links to."""
+    linked = pairs.select(F.explode(F.array("a", "b")).alias("ord")).groupBy("ord").agg(F.count("*").alias("n_links"))
+    of = found.select("ord", "cid", "id2").join(linked, "ord", "left").select("cid", "id2", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    rows = coded(split_lines(docs, key, text), ranks).select("key", "th", "line_no", *_ids()).join(of, ["cid", "id2"])
+    # repeated rows of one key and text hold equal lines
+    return rows.groupBy("key", "th").agg(F.sort_array(F.collect_set(F.struct("line_no", F.col("cid").alias("class_id"), "n_links"))).alias("lines"))
 
 
 def dedup(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -163,8 +187,12 @@ def dedup(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str
     and text count once. A line goes if any earlier line is similar enough, whether that one stays or
     not. Lines without tokens are neither counted nor removed.
     """
-    found, gone = matched(docs, p, key, text)
-    heads = found.select("ord", "first.*").join(gone, "ord", "left_anti")
+    found, pairs = matched(docs, rarity(docs, text), p, key, text)
+    return _kept(docs, found, pairs, key, text)
+
+
+def _kept(docs: DataFrame, found: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
+    heads = found.select("ord", "first.*").join(pairs.select(F.col("b").alias("ord")).distinct(), "ord", "left_anti")
     kept = heads.groupBy("key", "th").agg(F.sort_array(F.collect_list("line_no")).alias("kept_lines"))
     body = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     base = docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__th"), F.size(F.filter(body, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_lines")).distinct()
@@ -182,6 +210,12 @@ def clean_documents(docs: DataFrame, p: Params = Params(), key: str = "doc_id",
 
 
 def report(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    """Per document: ``doc_id, n_lines, n_kept, n_removed, kept_lines``."""
+    """Per document: ``doc_id, n_lines, n_kept, n_removed, kept_lines`` and ``lines``, the class and number of links of each line."""
+    ranks = rarity(docs)
+    found, pairs = matched(docs, ranks, p)
+    kept = _kept(docs, found, pairs, "doc_id", "text")
+    own = members(docs, found, pairs, ranks).withColumnRenamed("th", "__th")
+    both = kept.join(own, kept["doc_id"].eqNullSafe(own["key"]) & (kept["th"] == own["__th"]), "left")
     n = F.size("kept_lines").cast("long")
-    return dedup(docs, p).select("doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_removed"), "kept_lines")
+    lines = F.coalesce("lines", F.array().cast("array<struct<line_no:int,class_id:bigint,n_links:bigint>>"))
+    return both.select("doc_id", "n_lines", n.alias("n_kept"), (F.col("n_lines") - n).alias("n_removed"), "kept_lines", lines.alias("lines"))

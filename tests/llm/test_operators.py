@@ -534,6 +534,22 @@ def test_lines_random(spark):
         assert got == slow_lines(rows), short
 
 
+def test_lines_lose_no_link(spark):
+    """One large group whose classes share their keys, as on skewed data: every link counts, not only those to the hub."""
+    base = [f"w{k}" for k in range(12)]
+    rows = [(i, "\n".join([" ".join([*base[: i % 12], f"x{i % 15}", *base[i % 12 + 1 :]]), f"alone {i % 3}"])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {(i, k): frozenset(x.split()) for i, t in rows for k, x in enumerate(t.split("\n"))}
+    near = lambda a, b: a != b and 5 * len(a & b) >= 4 * len(a | b)
+    want = {at: sum(near(s, o) for o in set(sets.values())) for at, s in sets.items()}
+    got = {(r.doc_id, x.line_no): x for r in line_dedup.report(df).collect() for x in r.lines}
+    assert {at: x.n_links for at, x in got.items()} == want and max(want.values()) > 1
+    ids = {at: x.class_id for at, x in got.items()}
+    assert all((ids[a] == ids[b]) == (sets[a] == sets[b]) for a in ids for b in ids)
+    pairs = [frozenset(r) for r in line_dedup.links(df).collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == {frozenset((ids[a], ids[b])) for a in ids for b in ids if near(sets[a], sets[b])}
+
+
 def test_lines_awkward(spark):
     df = awkward(spark)
     got = {r.doc_id: r for r in line_dedup.report(df).collect()}
