@@ -45,32 +45,49 @@ BAD_HINTS = frozenset(
     "overlay share sharing social comment comments commentlist disqus discussion respond replies reply related recommended recommendations widget widgets toolbar login search "
     "pagination pager copyright legal disclaimer skip alert complementary contentinfo dialog hidden outbrain taboola paywall toc".split()
 )
+TALK_HINTS = frozenset("comment comments commentlist disqus discussion respond replies reply".split())
+FILL_HINTS = frozenset("area bar block box button buttons container inner links list section".split())
 SOFT_HINTS = frozenset("header head side top bottom".split())
 GOOD_HINTS = frozenset("article content main post story entry body text page hentry".split())
 SCOPE_HINTS = frozenset("articlebody article-body article-content post-content entry-content story-body main-content post-body article-text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*+(?:>|\Z))|<[!?][^>]*+(?:>|\Z)", re.S)
-_HINTS = re.compile(r"""\b(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _HINT_WORD = re.compile(r"[^a-z0-9]+")
 
 
-def _hints(attrs: str) -> tuple[bool, bool]:
-    """(marks furniture, marks the article) by the attributes of a tag."""
-    if "=" not in attrs and "hidden" not in attrs:
-        return False, False
-    raw = " ".join(x or y or z for x, y, z in _HINTS.findall(attrs)).lower()
-    names = set(_HINT_WORD.split(raw))
-    bad = bool(names & BAD_HINTS) or (bool(names & SOFT_HINTS) and not names & GOOD_HINTS) or bool(_HIDDEN.search(attrs))
-    return bad, not bad and (bool(SCOPE_HINTS & set(raw.split())) or "main" in raw.split())
+def _hints(attrs: str) -> tuple[bool, str, bool]:
+    """(hidden, mark, marks the article) by the attributes of a tag.
+
+    The mark is "hard" or "talk" where a whole class, id or role names furniture or a discussion, and
+    "soft" where it only holds such a word.
+    """
+    if "=" not in attrs and "hidden" not in attrs.lower():
+        return False, "", False
+    found = {name.lower(): x or y or z for name, x, y, z in reversed(_ATTR.findall(attrs))}
+    hidden = found.get("hidden", "false").lower() != "false" or found.get("aria-hidden", "").lower() == "true" or bool(_HIDING.search(found.get("style", "")))
+    names = set(" ".join(found.get(x, "") for x in ("class", "id", "role", "itemprop")).lower().split())
+    words = [set(_HINT_WORD.split(x)) - {""} for x in names]
+    whole = [w for w in words if w & BAD_HINTS and w <= BAD_HINTS | FILL_HINTS]
+    mark = ""
+    if any(not w & TALK_HINTS for w in whole) or (names & SOFT_HINTS and not set().union(*words) & GOOD_HINTS):
+        mark = "hard"
+    elif whole:
+        mark = "talk"
+    elif any(w & BAD_HINTS - {"hidden"} for w in words):
+        mark = "soft"
+    return hidden, mark, mark in ("", "soft") and (bool(SCOPE_HINTS & names) or "main" in names)
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
-    """The page's blocks in order: (text, characters in links, furniture, inside the article, heading)."""
-    out: list[tuple[str, int, bool, bool, bool]] = []
+def blocks(page: str) -> list[tuple[str, int, bool, bool, bool, bool]]:
+    """The page's blocks in order: (text, characters in links, furniture, inside the article, heading, doubtful by a mark)."""
+    out: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, bool]] = []
+    kinds: list[str] = []  # of all marked elements
+    marks: list[int] = []  # the open ones
     bad = scope = 0
     linked = in_link = 0
     heading = False
@@ -80,10 +97,18 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, min(linked, len(text)), bad > 0, scope > 0, heading))
+                out.append((text, min(linked, len(text)), bad > 0, scope > 0, heading, tuple(marks)))
             parts.clear()
         linked = 0
 
+    def close(k: int) -> None:
+        nonlocal bad, scope
+        for _, b, s, m in stack[k:]:
+            bad, scope = bad - b, scope - s
+            if m:
+                marks.pop()
+        del stack[k:]
+
     at, n = 0, len(page)
     while at < n:
         m = _TOKEN.search(page, at)
@@ -107,18 +132,18 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
                 heading = False
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, b, s in stack[k:]:
-                        bad, scope = bad - b, scope - s
-                    del stack[k:]
+                    close(k)
                     break
             continue
         if name in ("br", "wbr", "img"):
             parts.append(" ")
             continue
-        hint, good = _hints(m[3])
+        hidden, mark, good = _hints(m[3])
+        if name in INLINE and mark == "soft":
+            mark = ""
         if name == "a":
             in_link = 1
-        if name not in INLINE or hint:
+        if name not in INLINE or hidden or mark:
             flush()
             if name not in INLINE:
                 in_link = 0
@@ -133,25 +158,55 @@ def blocks(page: str) -> list[tuple[str, int, bool, bool, bool]]:
         elif name not in INLINE:
             heading = False
         if name == "body" or name == "html":
-            hint = good = False
-        drop = hint or name in DROPPED or (name == "header" and not scope)
+            hidden, mark, good = False, "", False
+        drop = hidden or name in DROPPED or (name == "header" and not scope)
         inside = not drop and (good or name in ("article", "main"))
         if name == "p":  # a paragraph ends the one before it
             if stack and stack[-1][0] == "p":
-                _, b, s = stack.pop()
-                bad, scope = bad - b, scope - s
+                close(-1)
         elif name == "li" and stack and stack[-1][0] == "li":
-            _, b, s = stack.pop()
-            bad, scope = bad - b, scope - s
-        if name not in INLINE or drop:
-            stack.append((name, drop, inside))
+            close(-1)
+        if name not in INLINE or drop or mark:
+            stack.append((name, drop, inside, bool(mark)))
             bad, scope = bad + drop, scope + inside
+            if mark:
+                marks.append(len(kinds))
+                kinds.append(mark)
     flush()
-    return out
+    return _weighed(out, kinds)
+
+
+def _weighed(found: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]], kinds: list[str]) -> list[tuple[str, int, bool, bool, bool, bool]]:
+    """Blocks with their marks settled: a marked element goes, unless it holds most of the text; then its mark only counts against it.
+
+    To stay it must hold a paragraph, and no article element may lie outside of it. A discussion may be longer than its article, so it stays only where no paragraph lies outside of it.
+    Soft marks count against a block in any element that does not hold most of the text.
+    """
+    sizes = [0] * len(kinds)
+    for text, _, bad, _, _, marks in found:
+        for m in () if bad else marks:
+            sizes[m] += len(text)
+    half = sum(len(b[0]) for b in found if not b[2]) / 2
+    gone, doubt = set(), set()
+    for m, kind in enumerate(kinds):
+        most = sizes[m] > half
+        if most and kind != "soft":
+            most = any(m in b[5] and not b[2] and len(b[0]) >= LIMITS[0] for b in found) and not any(b[3] and not b[2] and m not in b[5] for b in found)
+        if most and kind == "talk":
+            most = not any(not b[2] and m not in b[5] and _first(b[0], b[1], False, *LIMITS, False) for b in found)
+        if kind == "soft" and not most or kind != "soft" and most:
+            doubt.add(m)
+        elif kind != "soft":
+            gone.add(m)
+    return [(text, linked, bad or not gone.isdisjoint(marks), scope, heading, not doubt.isdisjoint(marks)) for text, linked, bad, scope, heading, marks in found]
+
+
+#: least characters of a paragraph and of a long one, low and high share of stop words, most characters in links
+LIMITS = (70, 200, 0.15, 0.3, 0.33)
 
 
 def _first(text: str, linked: int, inside: bool, min_chars: int, long_chars: int, low: float, high: float, max_links: float, outside: bool) -> bool | None:
-    """Pass one for a block that is no furniture. Place never decides: less is asked ``inside`` the article, more ``outside`` one."""
+    """Pass one for a block that is no furniture. Place never decides: less is asked ``inside`` the article, more ``outside`` one or of a block in doubt."""
     if linked / len(text) > (0.6 if inside else max_links):
         return False
     if len(text) < min_chars:
@@ -165,21 +220,21 @@ def _first(text: str, linked: int, inside: bool, min_chars: int, long_chars: int
     return None if stop >= low or inside else False
 
 
-def labels(found: list[tuple[str, int, bool, bool, bool]], min_chars: int = 70, long_chars: int = 200, low: float = 0.15, high: float = 0.3, max_links: float = 0.33) -> list[bool]:
+def labels(found: list[tuple[str, int, bool, bool, bool, bool]], min_chars: int = 70, long_chars: int = 200, low: float = 0.15, high: float = 0.3, max_links: float = 0.33) -> list[bool]:
     """Which blocks are article text. Lengths are code points, densities shares of words or characters.
 
     Article elements count as the article's place where they hold at least half of what the words find;
     otherwise they are teasers or quotes, and their blocks are decided like all others.
     """
     limits = (min_chars, long_chars, low, high, max_links)
-    first: list[bool | None] = [False if bad else _first(text, linked, False, *limits, False) for text, linked, bad, _, _ in found]
+    first: list[bool | None] = [False if bad else _first(text, linked, False, *limits, doubt) for text, linked, bad, _, _, doubt in found]
     for kind in (True, None):  # where nothing is long enough to decide, the open blocks are weighed
         weight = [sum(len(b[0]) for b, x in zip(found, first, strict=True) if x is kind and b[3] is s) for s in (False, True)]
         if any(weight):
             break
     placed = weight[1] > 0 and weight[1] >= weight[0]
     if placed:
-        first = [False if bad else _first(text, linked, scope, *limits, not scope) for text, linked, bad, scope, _ in found]
+        first = [False if bad else _first(text, linked, scope and not doubt, *limits, doubt or not scope) for text, linked, bad, scope, _, doubt in found]
     if not any(first):  # short pages are all text but for furniture and what lies beside the article
         return [x is None and (b[3] or not placed) for b, x in zip(found, first, strict=True)]
     # furniture says nothing about its neighbours

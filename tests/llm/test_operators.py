@@ -234,6 +234,20 @@ def test_html_article_elements_do_not_decide_alone():
     assert html_text.main_text(page) == f"Title\n{body}\n{other.strip()}\n{body}\n{body}\nEnd.\n{body * 3}"
 
 
+@pytest.mark.parametrize("attrs", ['class="post overflow-hidden"', 'style="overflow:hidden"', 'class="no-sidebar"', 'class="content-sidebar-wrap"', 'id="article-discussion"', 'class="widget"', 'data-state="hidden"'])
+def test_html_loose_marks_drop_no_container(attrs):
+    body = "This is the text of the article and it has the words that we look for in all of the blocks here."
+    gone = "".join(f"<div {x}><p>{body}</p></div>" for x in ("hidden", "style='color:red; display : none'", "style=visibility:hidden", "aria-hidden=true", "class='x ad'", "id=comments"))
+    page = f"<div {attrs}><h1>Title</h1><p>{body * 9}</p><p>See <a href='/hidden-gems'>gems</a> too.</p><p>{body}</p></div>{gone}"
+    assert html_text.main_text(page) == f"Title\n{body * 9}\nSee gems too.\n{body}"
+
+
+def test_html_long_discussions_go():
+    body = "This is the text of the article and it has the words that we look for in all of the blocks here."
+    assert html_text.main_text(f"<p>{body}</p><div class=comments><p>{body * 9}</p></div>") == body
+    assert html_text.main_text(f"<div class=ad>{body}</div><article><p>Short.</p></article>") == "Short."
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<p>a<", "</div></p>", "<!-- open", "<script>never closed", "plain words", "<a b='>x", "&#0;&bogus;<p>&lt;"])
 def test_html_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
