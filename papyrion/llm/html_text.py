@@ -11,6 +11,7 @@ import html
 import re
 from bisect import bisect
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -187,13 +188,14 @@ def _weighed(found: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]], ki
         for m in () if bad else marks:
             sizes[m] += len(text)
     half = sum(len(b[0]) for b in found if not b[2]) / 2
+    listed = _listed([b[:3] for b in found], LIMITS[0], LIMITS[2], LIMITS[4])
     gone, doubt = set(), set()
     for m, kind in enumerate(kinds):
         most = sizes[m] > half
         if most and kind != "soft":
             most = any(m in b[5] and not b[2] and len(b[0]) >= LIMITS[0] for b in found) and not any(b[3] and not b[2] and m not in b[5] for b in found)
         if most and kind == "talk":
-            most = not any(not b[2] and m not in b[5] and _first(b[0], b[1], False, *LIMITS, False) for b in found)
+            most = not any(not b[2] and m not in b[5] and _first(b[0], b[1], False, *LIMITS, False, listed) for b in found)
         if kind == "soft" and not most or kind != "soft" and most:
             doubt.add(m)
         elif kind != "soft":
@@ -205,14 +207,27 @@ def _weighed(found: list[tuple[str, int, bool, bool, bool, tuple[int, ...]]], ki
 LIMITS = (70, 200, 0.15, 0.3, 0.33)
 
 
-def _first(text: str, linked: int, inside: bool, min_chars: int, long_chars: int, low: float, high: float, max_links: float, outside: bool) -> bool | None:
+@lru_cache(128)  # each pass asks again
+def _stop_share(text: str) -> float:
+    w = _WORD.findall(text.lower())
+    return sum(x in STOP_WORDS for x in w) / max(1, len(w))
+
+
+def _listed(found: list[tuple[str, int, bool]], min_chars: int, low: float, max_links: float) -> bool:
+    """Whether the page's paragraphs ``(text, characters in links, furniture)`` reach the low share of stop words, weighed by length."""
+    texts = [t for t, linked, bad in found if not bad and len(t) >= min_chars and linked <= max_links * len(t)]
+    return sum(len(t) * _stop_share(t) for t in texts) >= low * sum(map(len, texts))
+
+
+def _first(text: str, linked: int, inside: bool, min_chars: int, long_chars: int, low: float, high: float, max_links: float, outside: bool, listed: bool = True) -> bool | None:
     """Pass one for a block that is no furniture. Place never decides: less is asked ``inside`` the article, more ``outside`` one or of a block in doubt."""
     if linked / len(text) > (0.6 if inside else max_links):
         return False
     if len(text) < min_chars:
         return None
-    w = _WORD.findall(text.lower())
-    stop = sum(x in STOP_WORDS for x in w) / max(1, len(w))
+    if not listed:  # no stop words to go by: length and links decide
+        return True if len(text) >= long_chars or not outside else None
+    stop = _stop_share(text)
     if outside:
         return True if stop >= high and len(text) >= long_chars else None if stop >= low else False
     if stop >= high or (stop >= low and (inside or len(text) >= long_chars)):
@@ -227,14 +242,15 @@ def labels(found: list[tuple[str, int, bool, bool, bool, bool]], min_chars: int
     otherwise they are teasers or quotes, and their blocks are decided like all others.
     """
     limits = (min_chars, long_chars, low, high, max_links)
-    first: list[bool | None] = [False if bad else _first(text, linked, False, *limits, doubt) for text, linked, bad, _, _, doubt in found]
+    listed = _listed([b[:3] for b in found], min_chars, low, max_links)
+    first: list[bool | None] = [False if bad else _first(text, linked, False, *limits, doubt, listed) for text, linked, bad, _, _, doubt in found]
     for kind in (True, None):  # where nothing is long enough to decide, the open blocks are weighed
         weight = [sum(len(b[0]) for b, x in zip(found, first, strict=True) if x is kind and b[3] is s) for s in (False, True)]
         if any(weight):
             break
     placed = weight[1] > 0 and weight[1] >= weight[0]
     if placed:
-        first = [False if bad else _first(text, linked, scope and not doubt, *limits, doubt or not scope) for text, linked, bad, scope, _, doubt in found]
+        first = [False if bad else _first(text, linked, scope and not doubt, *limits, doubt or not scope, listed) for text, linked, bad, scope, _, doubt in found]
     if not any(first):  # short pages are all text but for furniture and what lies beside the article
         return [x is None and (b[3] or not placed) for b, x in zip(found, first, strict=True)]
     # furniture says nothing about its neighbours

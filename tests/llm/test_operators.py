@@ -248,6 +248,12 @@ def test_html_long_discussions_go():
     assert html_text.main_text(f"<div class=ad>{body}</div><article><p>Short.</p></article>") == "Short."
 
 
+@pytest.mark.parametrize("body", ["Быстрая коричневая лиса прыгает через ленивую собаку, а потом долго бежит по тёмному лесу домой.", "敏捷的棕色狐狸跳过了懒狗，然后在黑暗的森林里跑了很久才回到家。" * 3])
+def test_html_languages_without_stop_words(body):
+    page = f"<div><a href=1>{body[:80]}</a></div><h2>Title</h2><div>{body}</div><div>{body * 2}</div>"
+    assert html_text.main_text(page) == f"Title\n{body}\n{body * 2}"
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<p>a<", "</div></p>", "<!-- open", "<script>never closed", "plain words", "<a b='>x", "&#0;&bogus;<p>&lt;"])
 def test_html_odd_pages(page):
     assert isinstance(html_text.main_text(page), str)
