@@ -1,5 +1,7 @@
 """Column functions against hand-derived values."""
 
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -219,6 +221,12 @@ def test_gibberish(one, t, want):
     assert one(t, ocr.gibberish) == pytest.approx(want)
 
 
+def test_gibberish_knows_the_whole_dictionary(one):
+    words = sorted(set(ocr.COMMON_WORDS))
+    assert len(words) == 530 and hashlib.md5(" ".join(words).encode()).hexdigest() == "520b75c44f13e66f1e09736d11a1207a"
+    assert one("Mother often walks through dark water", ocr.gibberish) == 0.0
+
+
 def test_ocr_lines(spark):
     rows = [(1, 0, "the name of the company", 90.0), (1, 1, "xkcdwq", 95.0), (1, 2, "the total amount", 20.0), (1, 3, None, None), (2, 0, "your order", 60.0)]
     got = {r.doc_id: r for r in ocr.analyze(spark.createDataFrame(rows, "doc_id long, line_no int, text string, confidence double")).collect()}
