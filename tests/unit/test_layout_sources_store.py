@@ -8,46 +8,63 @@ import pytest
 from pyspark.sql import functions as F
 
 from papyrion.operators import generated, layout, spreadsheet, store
-from papyrion.operators.layout import Item
 from papyrion.plans import extraction
 from papyrion.sources import files, sinks
 from papyrion.streaming import ingest
 
 
+ITEMS = "doc_id long, page int, seq int, str string, x double, y double, width double, height double, font_size double, page_width double"
+
+
 def item(text, x=72.0, y=700.0, size=12.0, page=1, width=50.0):
-    return Item(text, page, x, y, width, size, size)
+    return (page, text, float(x), float(y), float(width), float(size), float(size))
 
 
-def test_columns():
-    two = [item(f"l{k}", 50, 700 - 20 * k) for k in range(3)] + [item(f"r{k}", 350, 700 - 20 * k) for k in range(3)]
-    found = layout.columns(two, 612)
-    assert [(r.index, len(r.items)) for r in found] == [(0, 3), (1, 3)]
-    edge = [*two, item("edge", 201, 500)]  # the boundary lies at 200
-    assert [len(r.items) for r in layout.columns(edge, 612)] == [4, 4]
-    assert len(layout.columns([item("a"), item("b", 73)], 612)) == 1 and layout.columns([], 612) == []
+def laid(spark, items):
+    rows = [(1, p, k, t, x, y, w, h, s, 612.0) for k, (p, t, x, y, w, h, s) in enumerate(items)]
+    return layout.layout(spark.createDataFrame(rows, ITEMS)).first()
 
 
-def test_headings_and_levels():
-    found = layout.headings([item("Title", size=24), item("42", y=600, size=24), item("body", y=500), item("Sub", y=400, size=18), item("Sub two", x=200, y=400, size=20)], 12)
-    assert [(h["text"], h["level"]) for h in found] == [("Title", 1), ("Sub two", 2)]
+def test_columns(spark):
+    two = [item(f"l{k}", 50, 700 - 20 * k) for k in range(3)] + [item(f"r{k}", 350, 700 - 20 * k) for k in range(3)]
+    assert [(c.column, c.n_items) for c in laid(spark, two).columns] == [(0, 3), (1, 3)]
+    edge = [*two, item("edge", 201, 500)]  # the boundary lies at 200
+    assert [(c.x_min, c.x_max, c.n_items) for c in laid(spark, edge).columns] == [(50, 251, 4), (201, 400, 4)]
+    assert len(laid(spark, [item("a"), item("b", 73)]).columns) == 1
+    blank = laid(spark, [item(" "), item("b", page=2)])
+    assert blank.text == "\n\nb" and [c.page for c in blank.columns] == [2] and blank.body_size == 12
+    outside = [item(t, x, 700 - 20 * k) for k in range(2) for t, x in (("a", 700), ("b", 1000))]
+    assert [(c.column, c.n_items) for c in laid(spark, outside).columns] == [(0, 4)]
+
+
+def test_headings_and_levels(spark):
+    plain = [item("body", y=300 - 20 * k) for k in range(6)]
+    found = laid(spark, [item("Title", size=24), item("42", y=600, size=24), *plain, item("Sub", y=400, size=18), item("Sub two", x=200, y=400, size=19)])
+    assert [(h.text, h.level) for h in found.headings] == [("Title", 1), ("Sub two", 2)]
     # 24 is near 28 and joins it, yet takes the level of the nearest size that has one
     sizes = [28.0, 24.0, 22.0, 18.0]
-    got = layout.relevel([{"font_size": s, "level": 0} for s in sizes])
-    assert [h["level"] for h in got] == [1, 2, 2, 3]
+    found = laid(spark, [*plain, *[item(f"Head {s}", y=700 - 30 * k, size=s) for k, s in enumerate(sizes)], *[item("body", y=300 - 20 * k, page=2) for k in range(3)]])
+    assert [h.level for h in found.headings] == [1, 2, 2, 3]
+    many = spark.range(1).select(layout.levels_of(F.array(*map(F.lit, [60.0, 45.0, 35.0, 28.0, 20.0, 19.0]))).alias("l")).first().l
+    assert [(e.size, e.level) for e in many] == [(60, 1), (45, 3), (35, 4), (28, 4), (20, 4), (19, 4)]
 
 
-def test_tables():
+def test_tables(spark):
     rows = [("Term", "Meaning"), ("ab", "first"), ("cd", "second")]
     items = [item(t, x, 700 - 20 * k) for k, r in enumerate(rows) for t, x in zip(r, (100.0, 300.0))]
-    found = layout.tables(items, 12)
-    assert [(t["columns"], t["rows"]) for t in found] == [(["Term", "Meaning"], [["ab", "first"], ["cd", "second"]])]
-    assert layout.tables(items[:3], 12) == []
+    got = laid(spark, [*items, item("x", 10, 100), *[item(t, x + 1, y, page=2) for t, x, y in (("y" * 41, 50, 500), ("z", 200, 501), ("more", 50, 480), ("v", 200, 479), ("w", 205, 479))]])
+    assert [(t.id, t.columns, t.rows, t.page, t.y_start) for t in got.tables] == [
+        ("layout-table-0", ["Term", "Meaning"], [["ab", "first"], ["cd", "second"]], 1, 700),
+        ("layout-table-1", ["Column 1", "Column 2"], [["y" * 41, "z"], ["more", "v w"]], 2, 500),
+    ]
+    assert laid(spark, items[:3]).tables == []
 
 
-def test_lines_and_merge():
-    assert layout.by_line([item("b", y=690), item("a"), item("c", y=701)]) == ["a c", "b"]
+def test_lines_and_merge(spark):
+    assert laid(spark, [item("b", y=690), item("a"), item("c", y=701)]).text == "c a\nb"
     two = [item("l", 50, 700), item("l2", 50, 640), item("r", 350, 700), item("r2", 350, 640)]
-    assert layout.merged(layout.columns(two, 612)) == "l  r\nl2  r2"
+    assert laid(spark, two).text == "l  r\nl2  r2"
+    assert laid(spark, [*two, item("m", 52, 697)]).text == "l m  r\nl m  r\nl2  r2"
 
 
 def test_layout_of_documents(spark):
