@@ -83,16 +83,20 @@ def _op7(n_shards: int = 64) -> str:
 
 def _op8(p: quality.Params = quality.Params()) -> str:
     blank = r"[^\x20\x09-\x0D]"
-    values = {m: sql.replace("1L", "1").replace(" div ", " // ") for m, (sql, _, _) in quality.METRICS.items()}
-    long = " union all ".join(f"select lang, source, '{m}' as metric, ({sql})::bigint as v from s where n_words > 0" for m, sql in values.items())
+    plain = lambda x: x.replace("1L", "1").replace(" div ", " // ")
+    values = {m: plain(r.value) for m, r in quality.METRICS.items()}
+    long = " union all ".join(f"select lang, source, '{m}' as metric, ({sql})::bigint as v from s where n_words > 0" for m, sql in (values | quality.SIZES).items())
+    at = ", ".join(f"min(bin) filter (upto * 1000 >= total * {k}) as q{k}" for k in quality.LEVELS)
     quart = lambda name, keys: f"""
 {name}_m as (select {keys + ',' if keys else ''} metric, bin, sum(n) as n from k group by all),
 {name}_c as (select *, sum(n) over (partition by {keys + ',' if keys else ''} metric) as total, sum(n) over (partition by {keys + ',' if keys else ''} metric order by bin) as upto from {name}_m),
-{name} as (select {keys + ',' if keys else ''} metric, max(total) as total, min(bin) filter (upto * 4 >= total) as q1, min(bin) filter (upto * 4 >= total * 3) as q3 from {name}_c group by all)"""
-    spread = "case o.metric " + " ".join(f"when '{m}' then {least}" for m, (_, least, _) in quality.METRICS.items()) + " end"
-    both = "o.metric in (" + ", ".join(f"'{m}'" for m, (_, _, b) in quality.METRICS.items() if b) + ")"
+{name} as (select {keys + ',' if keys else ''} metric, max(total) as total, {at} from {name}_c group by all)"""
+    pick = ", ".join(f"case when o.total >= {p.min_group} then o.q{k} when l.total >= {p.min_group} then l.q{k} else a.q{k} end as q{k}" for k in quality.LEVELS)
+    wide = ", ".join(f"max(q{k}) filter (metric = '{m}') as {m}_{k}" for m in [*values, *quality.SIZES] for k in quality.LEVELS)
+    side = lambda m, r, far, sign, spread: f"{m}_{far} {sign} {r.reach} * greatest({spread}, {plain(r.unit)})"
+    high = ", ".join(side(m, r, r.tail, "+", f"{m}_{r.tail} - {m}_500") + f" as {m}_hi" for m, r in quality.METRICS.items())
+    low = ", ".join((side(m, r, 1000 - r.tail, "-", f"{m}_500 - {m}_{1000 - r.tail}") if r.low else "-1") + f" as {m}_lo" for m, r in quality.METRICS.items())
     inside = " and ".join(f"({values[m]}) between {m}_lo and {m}_hi" for m in values)
-    fence = ", ".join(f"max(hi) filter (metric = '{m}') as {m}_hi, max(lo) filter (metric = '{m}') as {m}_lo" for m in values)
     return f"""
 with t as (select doc_id, lang, source, coalesce(text, '') as text from documents),
 w as (select *, {_WORDS} as ws, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{blank}')) as ls from t),
@@ -104,10 +108,9 @@ s as (select doc_id, lang, source, len(ws)::bigint as n_words, length(array_to_s
 x as ({long}),
 k as (select lang, source, metric, case when v < 128 then v else (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) end as bin, count(*) as n from x group by all),
 {quart('ql', 'lang, source')},{quart('qg', 'lang')},{quart('qa', '')},
-f as (select o.lang, o.source, o.metric, case when o.total >= {p.min_group} then o.q1 when l.total >= {p.min_group} then l.q1 else a.q1 end as q1, case when o.total >= {p.min_group} then o.q3 when l.total >= {p.min_group} then l.q3 else a.q3 end as q3, {spread} as least, {both} as low
-  from ql o join qg l on o.lang is not distinct from l.lang and o.metric = l.metric join qa a on o.metric = a.metric),
-e as (select lang, source, metric, q3 + {p.reach} * greatest(q3 - q1, least) as hi, case when low then q1 - {p.reach} * greatest(q3 - q1, least) else -1 end as lo from f),
-z as (select lang, source, {fence} from e group by all),
+f as (select o.lang, o.source, o.metric, {pick} from ql o join qg l on o.lang is not distinct from l.lang and o.metric = l.metric join qa a on o.metric = a.metric),
+e as (select lang, source, {wide} from f group by all),
+z as (select lang, source, {high}, {low} from e),
 y as (select s.*, n_words < {p.min_words} or 100 * n_repeat_words > {p.max_repeat_percent} * n_words as base_failed, ({inside}) as fine from s left join z on s.lang is not distinct from z.lang and s.source is not distinct from z.source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(fine, true) as kept from y
 """

@@ -471,23 +471,50 @@ def slow_kept(rows, p):
         v = {"word_length": 1000 * chars // max(n, 1), "symbols": 1000 * symbols // max(n, 1), "dup_lines": 1000 * dup // max(lines, 1), "repeats": 1000 * rep // max(n, 1)}
         values[key] = (n, rep, v, lang, source)
         if n:
-            for m, x in v.items():
+            for m, x in (v | {"words": n, "lines": lines}).items():
                 for g in ((lang, source), (lang,), ()):
                     sketches.setdefault((g, m), []).append(slow_bin(x))
     out = {}
     for key, (n, rep, v, lang, source) in values.items():
         base = n < p.min_words or 100 * rep > p.max_repeat_percent * n
         good = not base
-        for m, (_, least, both) in quality.METRICS.items() if not base else ():
-            found = next(s for g in ((lang, source), (lang,), ()) if len(s := sorted(sketches[g, m])) >= p.min_group or g == ())
-            q1, q3 = found[-(-len(found) // 4) - 1], found[-(-3 * len(found) // 4) - 1]
-            reach = p.reach * max(q3 - q1, least)
-            good &= v[m] <= q3 + reach and (not both or v[m] >= q1 - reach)
+        if good:
+            level = next(g for g in ((lang, source), (lang,), ()) if len(sketches[g, "words"]) >= p.min_group or g == ())
+            at = lambda m, k: sorted(sketches[level, m])[-(-k * len(sketches[level, m]) // 1000) - 1]
+            w, l, u = at("words", 500), at("lines", 500), at("word_length", 500)
+            q1, q3 = at("word_length", 250), at("word_length", 750)
+            good = q1 - 12 * max(u - q1, u // 64) <= v["word_length"] <= q3 + 12 * max(q3 - u, u // 64)
+            for m, tail, reach, unit in (("symbols", 900, 6, 1000 // w), ("dup_lines", 990, 2, 1000 // l), ("repeats", 990, 4, 3000 // w)):
+                good &= v[m] <= at(m, tail) + reach * max(at(m, tail) - at(m, 500), unit)
         out[key] = (base, good)
     return out
 
 
-@pytest.mark.parametrize("p", [quality.Params(), quality.Params(min_group=1), quality.Params(min_group=60, reach=2)])
+def test_quality_fences_follow_the_group(spark):
+    """Each rule can reject what the base rule keeps, and only by what is usual in the row's own group."""
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnop") for _ in range(k))
+    clean = lambda: "\n".join(" ".join(word(rng.choice((4, 5, 6))) for _ in range(12)) for _ in range(10))
+
+    def repeats(share):
+        w = clean().split()
+        w[: share * 120 // 100] = (w[:3] * 40)[: share * 120 // 100]
+        return "\n".join(" ".join(w[i : i + 12]) for i in range(0, 120, 12))
+
+    symbols = lambda: clean().replace(" ", " # ", 60)
+    doubled = lambda: "\n".join(f"{x}\nok" for x in clean().split("\n"))
+    long = lambda: "\n".join(" ".join(word(30) for _ in range(12)) for _ in range(10))
+    odd = {"symbols": symbols, "dup_lines": doubled, "word_length": long, "repeats": lambda: repeats(45)}
+    rows = [("plain", clean()) for _ in range(300)] + [("plain", f()) for f in odd.values()]
+    for name, f in odd.items():  # where it is usual it stays
+        rows += [(name, f()) for _ in range(150)]
+    df = spark.createDataFrame([(i, t, "en", g) for i, (g, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = [r.kept for r in quality.report(df).orderBy("doc_id").collect()]
+    assert all(got[:300]) and not any(got[300:304]) and not any(r.base_failed for r in quality.report(df).collect())
+    assert all(got[304:754])
+
+
+@pytest.mark.parametrize("p", [quality.Params(), quality.Params(min_group=1), quality.Params(min_group=60)])
 def test_quality_matches_brute_force(docs, texts, p):
     got = {r.doc_id: r for r in quality.report(docs, p).collect()}
     want = slow_kept(texts, p)
