@@ -93,7 +93,7 @@ def reachable(offsets: np.ndarray, claimed: np.ndarray, total: int) -> tuple[np.
     return kept[:n], succ
 
 
-_CHAIN = "file string, mid long, offset long, parts array<long>, complete boolean, type string, rid string, refers string, uri string, head_digest string, head_length long, n_bytes long, digest string"
+_CHAIN = "file string, offset long, part string, parts array<string>, complete boolean, type string, rid string, refers string, uri string, head_digest string, head_length long, n_bytes long, digest string"
 
 
 def _chain(rows: pd.DataFrame) -> pd.DataFrame:
@@ -104,18 +104,20 @@ def _chain(rows: pd.DataFrame) -> pd.DataFrame:
     offset = np.cumsum(size) - size
     kept, succ = reachable(offset[1:], rows["claimed"].fillna(-1).to_numpy(np.int64)[1:], int(size.sum()))
     i = np.flatnonzero(kept)
-    out, mid = rows.iloc[i + 1].copy(), rows["mid"].to_numpy()
+    out, part = rows.iloc[i + 1].copy(), rows["part"].to_numpy()
     stop = np.minimum(succ[i], len(kept))
     whole = succ[i] <= len(kept)
     out["offset"], out["complete"] = offset[i + 1], whole
-    out["parts"] = [mid[a + 1 : b + 1].tolist() if w and b > a + 1 else [] for a, b, w in zip(i, stop, whole, strict=True)]
+    out["parts"] = [part[a + 1 : b + 1].tolist() if w and b > a + 1 else [] for a, b, w in zip(i, stop, whole, strict=True)]
     return out[[c.split()[0] for c in _CHAIN.split(", ")]]
 
 
 def _chunks(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between magic lines. ``block`` and ``mid`` order the chunks of a file within one scan only,
+    since splits depend on the cores there are; ``part``, a hash of the content, names a chunk in any scan."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
     return raw.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), "value"
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"), F.sha2("value", 256).alias("part"), "value"
     )
 
 
@@ -150,19 +152,20 @@ def read_warc(spark: SparkSession, path: str, with_payload: bool = False) -> Dat
     block, and payload (binary) if asked for. An empty folder gives no rows.
     """
     chunks = _fields(_chunks(spark, path))
-    meta = chunks.select("file", "block", "mid", "size", "claimed", "type", "rid", "refers", "uri", "head_digest", "head_length", F.col("content").alias("n_bytes"), F.sha2(_payload(), 256).alias("digest"))
+    meta = chunks.select("file", "block", "mid", "part", "size", "claimed", "type", "rid", "refers", "uri", "head_digest", "head_length", F.col("content").alias("n_bytes"), F.sha2(_payload(), 256).alias("digest"))
     kept = cut(meta.groupBy("file").applyInPandas(_chain, _CHAIN), "warc")
     long = kept.where(F.size("parts") > 1)
     plain = ["file", "offset", "complete", "type", "rid", "refers", "uri", "head_digest", "head_length", "n_bytes"]
     if not with_payload and long.isEmpty():
         return kept.select(*plain, "digest")
     want = kept if with_payload else long
-    own = F.when(F.size("parts") > 1, F.col("parts")).otherwise(F.array("mid"))
-    place = want.select("file", F.col("mid").alias("first"), F.posexplode(own).alias("k", "mid"))
-    text = place.join(_chunks(spark, path).select("file", "mid", "value"), ["file", "mid"])
-    glued = text.groupBy("file", F.col("first").alias("mid")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
-    body = _fields(glued).select("file", "mid", _payload().alias("payload"))
-    done = want.join(body, ["file", "mid"], "left").select(*plain, F.sha2("payload", 256).alias("digest"), "payload")
+    own = F.when(F.size("parts") > 1, F.col("parts")).otherwise(F.array("part"))
+    place = want.select("file", "offset", F.posexplode(own).alias("k", "part"))
+    text = place.join(_chunks(spark, path).select("file", "part", "value"), ["file", "part"])
+    # equal chunks of a file share their name, so the set drops what the join repeats
+    glued = text.groupBy("file", "offset").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("k", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
+    body = _fields(glued).select("file", "offset", _payload().alias("payload"))
+    done = want.join(body, ["file", "offset"], "left").select(*plain, F.sha2("payload", 256).alias("digest"), "payload")
     if with_payload:
         return done
     return kept.where(F.size("parts") <= 1).select(*plain, "digest").unionByName(done.drop("payload"))
