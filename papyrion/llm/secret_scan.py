@@ -147,14 +147,13 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id",
     """``docs`` with ``spans``: an ordered array of start, rank, kind and stop (code points, stop exclusive).
 
     Null texts have no spans. Rules without a mandatory trigram scan every text; the others scan only
-    the rows that the index returns.
+    the rows that the index returns. A column ``spans`` of the input is replaced, all others stay as they are.
     """
     index = cut(build_index(docs, rules, key, text), "postings")
     chosen = cut(candidates(docs.sparkSession, index, rules), "candidates")
-    rows = docs.withColumn("row", row_key(F.col(key), F.col(text))).join(chosen, "row", "left")
-    rows = rows.withColumn("t", F.coalesce(F.col(text), F.lit("")))
+    packed = docs.select(F.struct(*[c for c in docs.columns if c != "spans"]).alias("packed"), row_key(F.col(key), F.col(text)).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     parts = [_spans(r, i, f"coalesce(array_contains(kinds, '{r.kind}'), false)" if trigram_query(r.pattern) else "true") for i, r in enumerate(rules)]
-    return rows.withColumn("spans", F.expr(f"sort_array(concat({', '.join(parts)}))")).drop("row", "kinds", "t")
+    return packed.join(chosen, "row", "left").withColumn("spans", F.expr(f"sort_array(concat({', '.join(parts)}))")).select("packed.*", "spans")
 
 
 def digest(found: DataFrame, key: str = "doc_id", n_base: int = len(BASE)) -> DataFrame:
