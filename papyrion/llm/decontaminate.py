@@ -13,18 +13,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from papyrion.llm.common import small_batches
 
-_WORD = re.compile(r"[^\W_]+")
+# a character of a script written without spaces is a word of its own
+_LONE = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_LONE}]|[^\W_{_LONE}]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
+#: Characters of a benchmark at most.
+LARGEST = 50_000_000
 
 
 @dataclass(frozen=True)
 class Params:
-    """An item of n words may differ in ``percent`` of them (at least in ``floor``); shorter items than ``min_words`` are left out."""
+    """An item of n words may differ in ``percent`` of them (at least in ``floor``); items of fewer than ``min_words`` words must occur whole."""
 
     percent: int = 20
     floor: int = 1
@@ -32,7 +37,7 @@ class Params:
 
 
 def tokens(text: str | None) -> list[str]:
-    """Lower-case runs of letters and digits."""
+    """Lower-case runs of letters and digits; single characters in scripts without spaces."""
     return _WORD.findall((text or "").lower())
 
 
@@ -70,12 +75,12 @@ class Matcher:
         self.same: dict[int, list[int]] = {}
         for item_id, text in sorted((i, t) for i, t in items if i is not None):
             ids = tuple(self.words.setdefault(w, len(self.words) + 1) for w in tokens(text))
-            if len(ids) < p.min_words:
+            if not ids:
                 continue
             if ids in seen:  # equal items are searched once
                 self.same[seen[ids]].append(item_id)
                 continue
-            at, budget = len(self.items), max(p.floor, len(ids) * p.percent // 100)
+            at, budget = len(self.items), max(p.floor, len(ids) * p.percent // 100) if len(ids) >= p.min_words else 0
             seen[ids], self.same[at] = at, [item_id]
             self.items.append((item_id, list(ids), budget))
             cuts = [len(ids) * k // (budget + 1) for k in range(budget + 2)]
@@ -127,20 +132,29 @@ class Matcher:
         return {i: d for at, d in best.items() for i in self.same[at]}
 
 
+def _matcher(docs: DataFrame, benchmark: DataFrame, p: Params) -> Broadcast[Matcher]:
+    size = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+    if size > LARGEST:
+        raise ValueError(f"a benchmark of {size} characters is too large to broadcast; split it and search for its parts in turn")
+    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").collect()]
+    small_batches(docs.sparkSession)
+    return docs.sparkSession.sparkContext.broadcast(Matcher(items, p))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, contaminated, items, distances)`` per row: ids of the items found, in order, and their distances.
 
-    The benchmark is a fixed test set that fits on the driver. Null texts match nothing; items with a
-    null id or too few words are left out, and an empty benchmark marks no row.
+    The benchmark is a fixed test set that fits on the driver; one of more than ``LARGEST`` characters
+    is refused. Null texts match nothing; items with a null id or without words are left out, and an
+    empty benchmark marks no row.
     """
-    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").collect()]
-    made = Matcher(items, p)
-    small_batches(docs.sparkSession)
+    made = _matcher(docs, benchmark, p)
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = made.value.find
         for b in batches:
-            found = [sorted(made.find(t.as_py()).items()) for t in b.column(1)]
+            found = [sorted(find(t.as_py()).items()) for t in b.column(1)]
             ids = pa.array([[i for i, _ in x] for x in found], pa.list_(pa.int64()))
             far = pa.array([[d for _, d in x] for x in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bool(x) for x in found], pa.bool_()), ids, far], [key, "contaminated", "items", "distances"])
@@ -150,13 +164,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), key: st
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Params = Params(), text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
-    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), "text").collect()]
-    made = Matcher(items, p)
-    small_batches(docs.sparkSession)
+    made = _matcher(docs, benchmark, p)
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = made.value.find
         for b in batches:
-            yield b.filter(pa.array([not made.find(t.as_py()) for t in b.column(place)], pa.bool_()))
+            yield b.filter(pa.array([not find(t.as_py()) for t in b.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
