@@ -179,8 +179,12 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     Of repeated rows of that key the one with the least text hash stays. Rows with a null key cannot
     be told apart by key: all of them stay.
     """
-    groups = near_duplicates(docs, key, text, width, radius)
-    stay = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__key")).distinct()
-    known = docs.join(stay, docs[key] == stay["__key"], "left_semi")
-    first = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text)))
-    return known.withColumn("__n", first).where("__n = 1").drop("__n").unionByName(docs.where(F.col(key).isNull()))
+    groups = cut(near_duplicates(docs, key, text, width, radius).select(F.col(key).alias("k"), "component_id"), "groups")
+    # the keys that go and those that repeat are few beside the rows; both are written, so their size is known before the joins
+    gone = cut(groups.where("k <> component_id").select("k").distinct(), "gone")
+    again = cut(groups.where("k = component_id").groupBy("k").count().where("count > 1").select("k", F.lit(True).alias("twice")), "again")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"))
+    known = packed.join(gone, "k", "left_anti").join(again, "k", "left")
+    first = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(F.col("row").getField(text))))
+    once = known.where("twice").withColumn("n", first).where("n = 1").drop("n")
+    return known.where("twice is null").unionByName(once).select("row.*")
