@@ -25,6 +25,10 @@ class Params:
     max_epochs: int = 2
     seed: int = 17
 
+    def __post_init__(self):
+        if min([self.other, self.max_epochs, *[w for level in self.weights for w in level.values()]]) < 1 or self.share < 0:
+            raise ValueError("weights and epochs are whole numbers of at least 1; leave out sources that are not wanted")
+
 
 LEVELS = ("domain", "lang", "source")
 
@@ -115,19 +119,23 @@ def copies(docs: DataFrame, p: Params = Params(), key: str = "doc_id", domain: s
     """``docs`` with ``__domain, __lang, __source, __tokens`` and ``__copies``: how often the mixture takes each row.
 
     Rows with equal keys, null ones among them, have one place in a leaf's order and are taken or left
-    together. Texts without words cost nothing. An empty table stays empty.
+    together. Texts without words cost nothing. An empty table stays empty. Columns of the input with
+    these five names are replaced here; :func:`mix` keeps all columns of its input.
     """
-    rows = leaf_columns(docs, domain)
+    names = [f"__{c}" for c in LEVELS]
+    rows = leaf_columns(docs.drop(*names, "__tokens", "__copies"), domain)
     slim = cut(rows.select(F.col(key).alias("key"), *[F.col(f"__{c}").alias(c) for c in LEVELS], F.col("__tokens").alias("tokens")), "tokens")
-    points = cut_points(slim, p).select(*[F.col(c).alias(f"__{c}") for c in LEVELS], F.col("epochs").alias("__epochs"), F.col("last").alias("__last"))
-    full = rows.join(points, [f"__{c}" for c in LEVELS])
-    once = (epoch_key(p.seed, F.col("__epochs"), F.col(key)) <= F.col("__last")).cast("int")
-    return full.withColumn("__copies", (F.col("__epochs") + once).cast("int")).drop("__epochs", "__last")
+    # written, so that the size is known before the join: leaves are broadcast only while they are few
+    points = cut(cut_points(slim, p), "points").select(*[F.col(c).alias(f"__{c}") for c in LEVELS], F.struct("epochs", "last").alias("__copies"))
+    full = rows.join(points, names)
+    once = (epoch_key(p.seed, F.col("__copies.epochs"), F.col(key)) <= F.col("__copies.last")).cast("int")
+    return full.withColumn("__copies", (F.col("__copies.epochs") + once).cast("int"))
 
 
 def mix(docs: DataFrame, p: Params = Params(), key: str = "doc_id", domain: str = DOMAIN) -> DataFrame:
     """The mixture itself: the rows of ``docs``, each as often as :func:`copies` says."""
-    rows = copies(docs, p, key, domain).where("__copies > 0")
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), "text", "lang", "source")
+    rows = copies(packed, p, "key", domain).where("__copies > 0")
     if p.max_epochs > 1:
-        rows = rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-    return rows.select(*docs.columns)
+        rows = rows.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    return rows.select("row.*")
