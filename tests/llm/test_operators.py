@@ -97,6 +97,26 @@ def test_warc_is_read_the_same_in_small_splits(spark, sf):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_warc_does_not_depend_on_the_splits_of_a_scan(spark):
+    """Cores may come and go between the two scans of the reader; chunks must still meet their records."""
+    inner = "WARC/1.1\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    rows = [(i, "u", f"page {i} " + inner * (i % 4) + "tail " * (i % 7)) for i in range(60)]
+    path = fresh_path(spark, "cores")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    warc.write_warc(warc.plan_records(pages), path, compression="none")
+    want = {i: hashlib.sha256(t.encode()).hexdigest() for i, _, t in rows}
+    try:
+        for before, after in (("2", "16"), ("16", "1")):
+            spark.conf.set("spark.sql.files.openCostInBytes", "100")
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+            found = warc.digest_report(warc.read_warc(spark, path))
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", after)
+            assert {r.page_id: r.payload_digest for r in found.collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_warc_empty_and_null_keys(spark):
     schema = "page_id long, url string, html string, digest string"
     assert report(spark, spark.createDataFrame([], schema))[1] == {}
@@ -199,6 +219,8 @@ def test_simhash_awkward(spark):
     kept = simhash.keep_first(df)
     assert kept.columns == df.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 5, 7]
     assert simhash.keep_first(df.limit(0)).count() == 0
+    more = df.select("*", *[F.lit(1).alias(c) for c in ("__n", "k", "twice", "row2", "component_id", "n")])
+    assert simhash.keep_first(more).columns == more.columns and simhash.keep_first(more).count() == 5
 
 
 # --- 3 -----------------------------------------------------------------------------------------
@@ -347,6 +369,9 @@ def test_secrets_awkward(spark):
     assert secret_scan.digest(secret_scan.scan(df.drop("row"))).count() == 9
     assert secret_scan.digest(secret_scan.scan(df)).count() == 9
     assert secret_scan.digest(secret_scan.scan(df.limit(0))).count() == 0
+    more = df.select("*", F.lit(1).alias("t"), F.lit(2).alias("kinds"), F.lit(3).alias("packed"))
+    assert secret_scan.scan(more).columns == [*more.columns, "spans"]
+    assert {(r.row, r.t, r.kinds, r.packed) for r in secret_scan.scan(more).collect()} == {("r", 1, 2, 3), (None, 1, 2, 3)}
 
 
 # --- 6 -----------------------------------------------------------------------------------------
@@ -417,6 +442,10 @@ def test_mixing_awkward(spark):
     mixed = mixing.mix(df, p)
     assert mixed.columns == df.columns and mixed.count() == sum(k[3] * n for k, n in got.items())
     assert mixing.mix(df.limit(0)).count() == 0
+    more = df.select("*", *[F.lit("z").alias(c) for c in ("__domain", "__lang", "__source", "__tokens", "__copies", "key", "n")])
+    assert mixing.mix(more, p).columns == more.columns and {tuple(r)[-7:] for r in mixing.mix(more, p).collect()} == {("z",) * 7}
+    with pytest.raises(ValueError):
+        mixing.Params(weights=({"d0": 0}, {}, {}))
 
 
 # --- 7 -----------------------------------------------------------------------------------------
@@ -648,14 +677,21 @@ def test_decontamination_matches_brute_force(spark, sf):
     got = {r.doc_id: dict(zip(r.items, r.distances)) for r in decontaminate.matches(docs, bench, p).collect()}
     for i, t in rows:
         want = {}
-        for k, s in [*items, (902, items[0][1])]:
+        for k, s in [*items, (900, "too short"), (902, items[0][1])]:
             w = decontaminate.tokens(s)
             d = distance(w, decontaminate.tokens(t))
-            if d <= max(p.floor, len(w) * p.percent // 100):
+            if d <= (max(p.floor, len(w) * p.percent // 100) if len(w) >= p.min_words else 0):
                 want[k] = d
         assert got[i] == want, i
 
 
+def test_decontamination_of_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "The capital of France?"), (2, "敏捷的棕色狐狸跳过了懒狗"), (3, "Paris"), (4, " \n.")]
+    texts = ["we ask: the capital of France is", "the capital of Spain and France", "他说敏捷的棕色狐狸跳過了懒狗吧", "懒狗跳过了敏捷的狐狸", "paris", "", None]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id: r["items"] for r in decontaminate.matches(docs, bench).collect()} == {0: [1], 1: [], 2: [2], 3: [], 4: [3], 5: [], 6: []}
+
+
 def test_decontamination_awkward(spark, sf):
     df, bench = awkward(spark), table(spark, sf, "benchmark")
     assert decontaminate.matches(df, bench).where("contaminated").count() == 0
