@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from papyrion.functions import classify, lang, pii, text
 from papyrion.functions.rx import every, rx
 from papyrion.operators import business, general, layout, letters, money, ocr, spreadsheet, store
-from papyrion.plans import extraction, oracle
+from papyrion.plans import extraction, oracle, typed
 from papyrion.sources import files, sinks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(typed.QUERIES)
+ORACLE_SQL: dict[str, str] = dict(typed.ORACLE_SQL)
 
 
 def query(sql: str | None = None):
