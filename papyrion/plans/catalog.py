@@ -35,10 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Texts over all cores where they lie in fewer files than there are cores; large inputs stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def spread(df: DataFrame, small: int = 1 << 30) -> DataFrame:
+    """Small tables, by the planner's estimate, over all cores; larger ones stay as their files split them."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(size.toString()) < small else df
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

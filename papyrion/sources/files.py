@@ -34,14 +34,15 @@ ACCEPTED = {
 
 
 def read(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """``filename, size_bytes, content`` of files; oversized ones are never loaded.
+    """``filename, size_bytes, content`` of files; oversized ones come without content, which :func:`parse` reports.
 
-    The size filter reaches the scan, so the content of large files is not read.
+    The size filter reaches the scan, and the second scan asks for no content, so large files are never loaded.
     """
     reader = spark.read.format("binaryFile")
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    files = reader.load(path).where(F.col("length") <= MAX_BYTES)
-    return files.select(F.substring_index("path", "/", -1).alias("filename"), F.col("length").alias("size_bytes"), "content")
+    files = reader.load(path).withColumn("filename", F.substring_index("path", "/", -1)).withColumnRenamed("length", "size_bytes")
+    large = files.where(F.col("size_bytes") > MAX_BYTES).select("filename", "size_bytes", F.lit(None).cast("binary").alias("content"))
+    return files.where(F.col("size_bytes") <= MAX_BYTES).select("filename", "size_bytes", "content").unionByName(large)
 
 
 def size_error(size: Column) -> Column:
