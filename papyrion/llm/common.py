@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +36,32 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/papyrion/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/papyrion/{tag}-{uuid.uuid4().hex}"
+    if _made.get() is not None:
+        _made.get().append(path)
+    return path
+
+
+@contextmanager
+def tables_made() -> Iterator[list[str]]:
+    """The paths of the tables that are written inside, for :func:`remove`."""
+    found: list[str] = []
+    token = _made.set(found)
+    try:
+        yield found
+    finally:
+        _made.reset(token)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete tables that no DataFrame in use reads any more."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:

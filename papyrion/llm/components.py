@@ -10,13 +10,13 @@ from papyrion.llm.common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
     return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
+    low = cut(down.groupBy("u").agg(F.min("v").alias("m")), "low")
     near = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return near.union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
@@ -24,6 +24,9 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(u, v)`` of one ordered type -> ``(node, root)``; root is the least node of the component.
 
+    The least neighbours are written before they are joined: so both sides of the join are shuffles of
+    known size, and the edges of a hub are broadcast to or split over tasks.
+
     Only nodes with an edge to another node come back; self loops and repeated edges are ignored.
     Each round keeps at most one edge per input edge, and only a count and a checksum reach the
     driver. The rounds grow with the logarithm of the largest component.

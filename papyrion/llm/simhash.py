@@ -168,8 +168,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     distinct = cut(own.groupBy("fp").agg(F.min(key).alias("least")), "fps")
     groups = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = distinct.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(lowest, "root").select("fp", "component_id")
+    lowest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
+    ids = cut(rooted.join(lowest, "root").select("fp", "component_id"), "ids")
     return own.join(ids, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on the awkward inputs of every table."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -307,6 +308,46 @@ def test_toxicity_never_reads_held_out_labels(spark, sf):
     assert one == two
 
 
+def slow_ftrl(rows, labels, p):
+    """One coordinate at a time, as the method is published: w from z and n, then z and n from the gradient."""
+    z, n, bias, bias_n = {}, {}, 0.0, 0.0
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= p.l1:
+            return 0.0
+        return -(z[i] - math.copysign(p.l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    for _ in range(p.epochs):
+        for x, y in zip(rows, labels):
+            w = {i: weight(i) for i in x}
+            g = (1 / (1 + math.exp(-(sum(w.values()) + bias))) - y) * (p.positive if y else 1.0)
+            for i in x:
+                s = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / p.alpha
+                z[i] = z.get(i, 0.0) + g - s * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bias_n += g * g
+            bias -= g * p.alpha / (p.beta + math.sqrt(bias_n))
+    return {i: weight(i) for i in z if weight(i)}, bias
+
+
+def test_toxicity_training_matches_the_published_steps():
+    rng = np.random.default_rng(4)
+    p = toxicity.Params(bits=8, l1=0.5, epochs=3)
+    rows = [np.unique(rng.integers(0, 256, rng.integers(1, 30))) for _ in range(200)]
+    labels = [float((x < 40).sum() > 2) for x in rows]
+    at, w, bias = toxicity.train(rows, np.array(labels), p)
+    want, want_bias = slow_ftrl([x.tolist() for x in rows], labels, p)
+    assert set(at.tolist()) == set(want) and len(want) > 20 and abs(bias - want_bias) < 1e-9
+    assert all(abs(v - want[i]) < 1e-9 for i, v in zip(at.tolist(), w.tolist()))
+
+
+def test_toxicity_features_are_words_pairs_and_skip_pairs():
+    seen = toxicity._Hashes()
+    one = lambda t: set(toxicity.features(t, seen, 20).tolist())
+    assert len(toxicity.features("a b c d", seen, 20)) == 4 + 3 + 2 and one("") == one(None) == set()
+    assert one("a x b") & one("a y b") > one("a") | one("b") and not one("a b") - one("b a") <= one("a") | one("b")
+
+
 def test_toxicity_awkward(spark):
     df = awkward(spark)
     labels = spark.createDataFrame([(1, 1), (1, None), (None, 1), (5, 0), (99, 1)], "doc_id long, toxic int")
@@ -465,6 +506,27 @@ def test_sharding_table_is_even_and_stable():
         sharding.fill(["a"], 8)
 
 
+def slow_table(names, slots):
+    """Whole preference lists, and turns that look for the first free slot from the start each time."""
+    wish = []
+    for n in names:
+        d = hashlib.md5(n.encode()).hexdigest()
+        offset, skip = int(d[:16], 16) % slots, int(d[16:], 16) % (slots - 1) + 1
+        wish.append([(offset + k * skip) % slots for k in range(slots)])
+    table_ = {}
+    while len(table_) < slots:
+        for i, w in enumerate(wish):
+            free = next((s for s in w if s not in table_), None)
+            if free is not None:
+                table_[free] = i
+    return [table_[s] for s in range(slots)]
+
+
+def test_sharding_table_matches_brute_force():
+    for n, slots in ((1, 7), (3, 7), (7, 7), (5, 101), (64, 499)):
+        assert sharding.fill(sharding.names(n), slots) == slow_table(sharding.names(n), slots)
+
+
 def test_sharding_matches_brute_force(spark, docs, texts):
     table_ = sharding.fill(sharding.names(64))
     for r in sharding.assign(docs).collect():
