@@ -1,8 +1,14 @@
-"""SimHash fingerprints, exact Hamming links between population-count tiles, and duplicate groups."""
+"""SimHash fingerprints, exact Hamming links between population-count tiles, and duplicate groups.
+
+Two operators share the method. :func:`near_duplicates` links 64-bit fingerprints within a radius.
+:func:`near_copies` links texts by the Jaccard similarity of their shingle sets: fingerprints of 128 bits
+find the candidates, the shingles decide.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +23,24 @@ SEED = 42
 STEP = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 4) -> int:
-    """64-bit SimHash over word shingles as an unsigned integer; 0 for a text without words."""
+def _shingles(text: str | None, width: int) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words joined by single spaces, and where each shingle starts and stops in them."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
-    if not w:
-        return 0
-    whole = b" ".join(w)
     size = np.fromiter(map(len, w), np.int64, len(w))
     start = np.cumsum(size + 1) - size - 1
     stop = start + size
     if len(w) > width:
-        start, stop = start[: 1 - width], stop[width - 1 :]
+        start, stop = start[: len(w) - width + 1], stop[width - 1 :]
     else:
         start, stop = start[:1], stop[-1:]
+    return b" ".join(w), start, stop
+
+
+def fingerprint(text: str | None, width: int = 4) -> int:
+    """64-bit SimHash over word shingles as an unsigned integer; 0 for a text without words."""
+    whole, start, stop = _shingles(text, width)
+    if not len(start):
+        return 0
     ones, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
     for k in range(0, len(start), STEP):
         a, b = start[k : k + STEP].tolist(), stop[k : k + STEP].tolist()
@@ -158,6 +169,15 @@ def links(fps: DataFrame, radius: int = 4, tile: int = 65536) -> DataFrame:
     return pairs.mapInArrow(run, "u long, v long")
 
 
+def _grouped(own: DataFrame, distinct: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """``own`` with ``component_id``, the least key of all fingerprints that the edges join to its own."""
+    groups = components(edges).withColumnRenamed("node", "fp")
+    rooted = distinct.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
+    ids = cut(rooted.join(lowest, "root").select("fp", "component_id"), "ids")
+    return own.join(ids, "fp").select(key, "fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
     """``(key, fingerprint, component_id)``: one row per row.
 
@@ -166,20 +186,182 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     own = cut(fingerprints(docs, key, text, width), "fp")
     distinct = cut(own.groupBy("fp").agg(F.min(key).alias("least")), "fps")
-    groups = components(links(distinct.select("fp"), radius)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
-    ids = cut(rooted.join(lowest, "root").select("fp", "component_id"), "ids")
-    return own.join(ids, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _grouped(own, distinct, links(distinct.select("fp"), radius), key)
+    return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@dataclass(frozen=True)
+class Copies:
+    """Shingles of ``width`` words, linked at a Jaccard similarity of ``num / den`` or more.
+
+    Two sets of similarity 0.8 are 0.151 * pi apart as vectors, so 19 of 128 bits differ between
+    them, with a deviation of 4; unrelated texts differ in 64, with a deviation of 6. ``radius`` lies 3.6 deviations
+    above the one and 5.3 below the other.
+    """
+
+    width: int = 5
+    num: int = 4
+    den: int = 5
+    radius: int = 34
+    tile: int = 32768
+
+
+def shingle_digests(text: str | None, width: int = 5) -> set[bytes]:
+    """128-bit hashes of a text's different shingles; none for a text without words."""
+    whole, start, stop = _shingles(text, width)
+    digest = xxhash.xxh3_128_digest
+    return {digest(whole[i:j], SEED) for i, j in zip(start.tolist(), stop.tolist(), strict=True)}
+
+
+def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
+    """128-bit SimHash over the different shingles of a text: 16 bytes, all zero for a text without words."""
+    found = shingle_digests(text, width)
+    bits = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for k in range(0, len(bits), STEP):
+        ones += np.unpackbits(bits[k : k + STEP], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(bits)).tobytes()
+
+
+def _forest(n: int, p: np.ndarray, q: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the pairs (p, q) of n nodes by distance d; its edges are pairs given."""
+    parent, out = np.arange(n), []
+    order = np.argsort(d, kind="stable")
+    p, q, d = p[order], q[order], d[order]
+    bounds = np.append(np.flatnonzero(np.diff(d, prepend=-1)), len(d))
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        e = np.arange(lo, hi)
+        while True:
+            u, v = parent[p[e]], parent[q[e]]
+            apart = u != v
+            if not apart.any():
+                break
+            e, u, v = e[apart], u[apart], v[apart]
+            hooks, at = np.unique(np.maximum(u, v), return_index=True)
+            parent[hooks] = np.minimum(u, v)[at]
+            out.append(e[at])
+            while (up := parent[parent]).tobytes() != parent.tobytes():
+                parent = up
+    kept = np.concatenate(out) if out else np.zeros(0, np.int64)
+    return p[kept], q[kept], d[kept]
+
+
+def nearest_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 1024, strip: int = 256, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+    """Minimum spanning forest of all pairs within ``radius`` bits between two tiles (or inside one) of 128-bit fingerprints.
+
+    ``a`` and ``b`` have two 64-bit words a row; places in ``a`` followed by ``b`` come back. All pairs are compared;
+    those found are thinned to their forest whenever there are more than ``most``, which changes nothing, as the
+    forest of a union is within the union of forests.
+    """
+    right, shift = (a, 0) if b is None else (b, len(a))
+    n = len(a) + (0 if b is None else len(b))
+    kept, waiting = [], 0
+    for k in range(0, len(a), strip):
+        x = a[k : k + strip]
+        for j in range(k if b is None else 0, len(right), block):
+            y = right[j : j + block]
+            d = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+            d += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+            p, q = np.nonzero(d <= radius)
+            if len(p):
+                e = d[p, q].astype(np.int16)
+                p, q = p + k, q + j + shift
+                if b is None:
+                    p, q, e = (c[q > p] for c in (p, q, e))
+                kept.append((p, q, e))
+                waiting += len(p)
+                if waiting > most:
+                    kept = [_forest(n, *map(np.concatenate, zip(*kept, strict=True)))]
+                    waiting = len(kept[0][0])
+                    most = max(most, 2 * waiting)
+    if not kept:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return _forest(n, *map(np.concatenate, zip(*kept, strict=True)))[:2]
+
+
+def candidates(fps: DataFrame, p: Copies = Copies()) -> DataFrame:
+    """``fps(fp binary, ones int)`` distinct -> ``(u, v)``: per pair of tiles a minimum spanning forest of the pairs within the radius.
+
+    Cells hold four population counts each, large ones are cut into tiles; a tile meets those whose
+    counts differ by no more than the radius. At this radius that rules out little: the cost is quadratic in
+    the number of distinct fingerprints.
+    """
+    cell = fps.select("fp", F.expr("ones div 4").cast("int").alias("cell"))
+    sizes = {r["cell"]: r["n"] for r in cell.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # 33 rows at most
+    if not sizes:
+        return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+    pieces = F.array(*[F.lit(-(-sizes.get(c, 0) // p.tile)) for c in range(33)])
+    tiles = cell.withColumn("sub", F.pmod(F.xxhash64("fp"), F.get(pieces, "cell")).cast("int")).groupBy("cell", "sub").agg(F.collect_list("fp").alias("fps"))
+    tiles = cut(tiles, "tiles")
+    # a cell's counts end three above its least, so cells meet up to this many ahead
+    ahead = F.sequence(F.col("cell"), F.least(F.lit(32), F.col("cell") + (p.radius + 3) // 4))
+    start = lambda c: F.when(c == F.col("cell"), F.col("sub")).otherwise(F.lit(0))
+    subs = lambda c: F.when(start(c) < F.get(pieces, c), F.sequence(start(c), F.get(pieces, c) - 1)).otherwise(F.array().cast("array<int>"))
+    partner = F.flatten(F.transform(ahead, lambda c: F.transform(subs(c), lambda s: F.struct(c.alias("cell2"), s.alias("sub2")))))
+    left = tiles.select("cell", "sub", "fps", F.explode(partner).alias("to")).select("cell", "sub", "fps", "to.cell2", "to.sub2")
+    right = tiles.select(F.col("cell").alias("cell2"), F.col("sub").alias("sub2"), F.col("fps").alias("fps2"))
+    same = (F.col("cell") == F.col("cell2")) & (F.col("sub") == F.col("sub2"))
+    pairs = left.join(right, ["cell2", "sub2"]).select("fps", F.when(~same, F.col("fps2")).alias("fps2"))
+    # one comparison of tiles may take seconds: they are dealt out one by one, not by bytes
+    pairs = pairs.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, sum(-(-n // p.tile) for n in sizes.values())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0), batch.column(1), strict=True):
+                values = [a.as_py(), b.as_py() or []]
+                x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, 2) for v in values)
+                u, v = nearest_pairs(x, y if b.is_valid else None, p.radius)
+                if len(u):
+                    both = pa.array(values[0] + values[1], pa.binary())
+                    yield pa.RecordBatch.from_arrays([both.take(pa.array(u)), both.take(pa.array(v))], ["u", "v"])
+
+    return pairs.mapInArrow(run, "u binary, v binary").distinct()
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Copies = Copies()) -> DataFrame:
+    """``(key, component_id)``: one row per row; ``component_id`` is the least key reachable over links.
+
+    Texts link if the Jaccard similarity of their shingle sets is at least ``num / den``. Candidates are the nearest pairs of
+    128-bit fingerprints, a forest per pair of tiles, so a group of m copies has some m of them and not m * m;
+    each is verified on the shingles. Texts of one fingerprint are one class. Null texts and texts without words are
+    one class too; a null key gets the least known key of its group, if any.
+    """
+    small_batches(docs.sparkSession)
+    kind = docs.schema[key].dataType.simpleString()
+    given = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t")).withColumn("th", F.xxhash64("t"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = [wide_fingerprint(t.as_py(), p.width) for t in b.column(1)]
+            ones = [int.from_bytes(f).bit_count() for f in fps]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(ones, pa.int32())], ["k", "th", "fp", "ones"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for f, t in zip(b.column(0), b.column(1), strict=True):
+                found = np.frombuffer(b"".join(d[:8] for d in shingle_digests(t.as_py(), p.width)), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([f.as_py()], pa.binary()), pa.array([found], pa.list_(pa.int64()))], ["fp", "s"])
+
+    own = cut(given.mapInArrow(prints, f"k {kind}, th long, fp binary, ones int"), "fp")
+    distinct = cut(own.groupBy("fp", "ones").agg(F.min("k").alias("least"), F.min(F.struct("k", "th")).alias("one")), "fps")
+    edges = cut(candidates(distinct.select("fp", "ones"), p), "candidates")
+    ends = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
+    sought = cut(distinct.join(ends, "fp").select("fp", "one.k", F.col("one.th").alias("th")), "sought")  # written, so its size is known
+    texts = given.join(sought, given["k"].eqNullSafe(sought["k"]) & (given["th"] == sought["th"])).select("fp", "t")
+    shingled = cut(texts.mapInArrow(sets, "fp binary, s array<bigint>").dropDuplicates(["fp"]), "sets")
+    one, two = (shingled.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}")) for c in "uv")
+    both = edges.join(one, "u").join(two, "v").withColumn("o", F.size(F.array_intersect("su", "sv")))
+    alike = cut(both.where(F.expr(f"{p.den} * o >= {p.num} * (size(su) + size(sv) - o)")).select("u", "v"), "alike")
+    return _grouped(own, distinct, alike, "k").select(F.col("k").alias(key), "component_id")
 
 
-def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` with one document of each near-duplicate group: that with the least key.
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Copies = Copies()) -> DataFrame:
+    """The rows of ``docs`` with one document of each group of :func:`near_copies`: that with the least key.
 
     Of repeated rows of that key the one with the least text hash stays. Rows with a null key cannot
     be told apart by key: all of them stay.
     """
-    groups = cut(near_duplicates(docs, key, text, width, radius).select(F.col(key).alias("k"), "component_id"), "groups")
+    groups = cut(near_copies(docs, key, text, p).select(F.col(key).alias("k"), "component_id"), "groups")
     # the keys that go and those that repeat are few beside the rows; both are written, so their size is known before the joins
     gone = cut(groups.where("k <> component_id").select("k").distinct(), "gone")
     again = cut(groups.where("k = component_id").groupBy("k").count().where("count > 1").select("k", F.lit(True).alias("twice")), "again")

@@ -211,6 +211,81 @@ def test_dense_tiles_give_a_forest():
     assert len(u) == len(x) - 1 and len(set(v.tolist())) == 1
 
 
+def slow_copies(texts, width=5):
+    """Groups over links at a Jaccard similarity of 0.8 or more between sets of word shingles, all pairs tried."""
+    sets = []
+    for t in texts:
+        w = WORD.findall(re.sub(r"[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) or frozenset([tuple(w)] if w else []))
+    parent = list(range(len(sets)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or (5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(sets))]
+
+
+def test_near_copies_match_brute_force(docs, texts):
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()}
+    least = {}
+    roots = slow_copies([t for _, t, _, _ in texts])
+    for (i, *_), r in zip(texts, roots):
+        least[r] = min(i, least.get(r, i))
+    assert got == {i: least[r] for (i, *_), r in zip(texts, roots)}
+
+
+def test_near_copies_of_one_text(spark):
+    """A group of different near copies, a text half of which is shared, and others that share a passage only."""
+    rng = random.Random(5)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, rows = new(300), []
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(300), 2):
+            w[at] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(300, " ".join(base[:150] + new(150)))] + [(301 + i, " ".join(base[:60] + new(240))) for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for tile in (32768, 40):
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(df, p=simhash.Copies(tile=tile)).collect()}
+        assert got == {i: 0 if i < 300 else i for i, _ in rows}
+    found = simhash.candidates(df.sparkSession.createDataFrame([(f, int.from_bytes(f).bit_count()) for f in {simhash.wide_fingerprint(t) for _, t in rows}], "fp binary, ones int"))
+    assert found.count() < 10 * len(rows)
+
+
+@pytest.mark.parametrize("most", [10, 1 << 21])
+def test_nearest_pairs_are_a_minimum_forest(most):
+    rng = np.random.default_rng(3)
+    seeds = rng.integers(0, 1 << 63, (5, 2), dtype=np.uint64)
+    x = np.repeat(seeds, 30, axis=0)
+    for _ in range(8):
+        x[np.arange(150), rng.integers(0, 2, 150)] ^= np.uint64(1) << rng.integers(0, 64, 150, dtype=np.uint64)
+    whole = np.bitwise_count(x[:, None] ^ x[None, :]).sum(2).astype(int)
+    for a, b in ((x, None), (x[:70], x[70:])):
+        u, v = simhash.nearest_pairs(a, b, 20, block=32, strip=16, most=most)
+        allowed = [(whole[i, j], i, j) for i in range(150) for j in range(i) if whole[i, j] <= 20 and (b is None or (i < 70) != (j < 70))]
+        parent = list(range(150))
+
+        def find(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        cost = []
+        for d, i, j in sorted(allowed):
+            if find(i) != find(j):
+                parent[find(i)] = find(j)
+                cost.append(d)
+        assert sorted(whole[u, v].tolist()) == sorted(cost)
+
+
 def test_simhash_awkward(spark):
     df = awkward(spark)
     got = simhash.near_duplicates(df).collect()

@@ -7,7 +7,7 @@ import pytest
 from papyrion.llm import decontaminate, mixing, quality, queries, sharding, sql
 from papyrion.llm.common import table
 from pyspark.sql import functions as F
-from test_operators import awkward, slow_fingerprint, slow_groups, slow_kept, slow_mix
+from test_operators import awkward, slow_copies, slow_kept, slow_mix
 
 import __spark_entry__
 
@@ -37,7 +37,7 @@ def test_quality_stage(stages):
 
 def test_dedup_stage(stages):
     before, after, _ = stages[1]
-    roots, least = slow_groups([slow_fingerprint(r.text) for r in before]), {}
+    roots, least = slow_copies([r.text for r in before]), {}
     for r, g in zip(before, roots):
         least[g] = min(r.doc_id, least.get(g, r.doc_id))
     assert sorted(r.doc_id for r in after) == sorted(least.values()) and len(after) < len(before)
