@@ -196,7 +196,8 @@ class Copies:
 
     Two sets of similarity 0.8 are 0.151 * pi apart as vectors, so 19 of 128 bits differ between
     them, with a deviation of 4; unrelated texts differ in 64, with a deviation of 6. ``radius`` lies 3.6 deviations
-    above the one and 5.3 below the other.
+    above the one and 5.3 below the other. Tiles hold a 64th of all fingerprints, but no fewer than ``tile`` and no more
+    than ``most`` (16 MB), so that they are sent to some 64 others each.
     """
 
     width: int = 5
@@ -204,6 +205,7 @@ class Copies:
     den: int = 5
     radius: int = 34
     tile: int = 32768
+    most: int = 1 << 20
 
 
 def shingle_digests(text: str | None, width: int = 5) -> set[bytes]:
@@ -282,19 +284,20 @@ def nearest_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, block: int =
 def candidates(fps: DataFrame, p: Copies = Copies()) -> DataFrame:
     """``fps(fp binary, ones int)`` distinct -> ``(u, v)``: per pair of tiles a minimum spanning forest of the pairs within the radius.
 
-    Cells hold four population counts each, large ones are cut into tiles; a tile meets those whose
+    Cells hold 16 population counts each, large ones are cut into tiles; a tile meets those whose
     counts differ by no more than the radius. At this radius that rules out little: the cost is quadratic in
     the number of distinct fingerprints.
     """
-    cell = fps.select("fp", F.expr("ones div 4").cast("int").alias("cell"))
-    sizes = {r["cell"]: r["n"] for r in cell.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # 33 rows at most
+    cell = fps.select("fp", F.expr("ones div 16").cast("int").alias("cell"))
+    sizes = {r["cell"]: r["n"] for r in cell.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # 9 rows at most
     if not sizes:
         return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
-    pieces = F.array(*[F.lit(-(-sizes.get(c, 0) // p.tile)) for c in range(33)])
+    tile = min(p.most, max(p.tile, sum(sizes.values()) // 64))
+    pieces = F.array(*[F.lit(-(-sizes.get(c, 0) // tile)) for c in range(9)])
     tiles = cell.withColumn("sub", F.pmod(F.xxhash64("fp"), F.get(pieces, "cell")).cast("int")).groupBy("cell", "sub").agg(F.collect_list("fp").alias("fps"))
     tiles = cut(tiles, "tiles")
-    # a cell's counts end three above its least, so cells meet up to this many ahead
-    ahead = F.sequence(F.col("cell"), F.least(F.lit(32), F.col("cell") + (p.radius + 3) // 4))
+    # a cell's counts end 15 above its least, so cells meet up to this many ahead
+    ahead = F.sequence(F.col("cell"), F.least(F.lit(8), F.col("cell") + (p.radius + 15) // 16))
     start = lambda c: F.when(c == F.col("cell"), F.col("sub")).otherwise(F.lit(0))
     subs = lambda c: F.when(start(c) < F.get(pieces, c), F.sequence(start(c), F.get(pieces, c) - 1)).otherwise(F.array().cast("array<int>"))
     partner = F.flatten(F.transform(ahead, lambda c: F.transform(subs(c), lambda s: F.struct(c.alias("cell2"), s.alias("sub2")))))
@@ -302,8 +305,9 @@ def candidates(fps: DataFrame, p: Copies = Copies()) -> DataFrame:
     right = tiles.select(F.col("cell").alias("cell2"), F.col("sub").alias("sub2"), F.col("fps").alias("fps2"))
     same = (F.col("cell") == F.col("cell2")) & (F.col("sub") == F.col("sub2"))
     pairs = left.join(right, ["cell2", "sub2"]).select("fps", F.when(~same, F.col("fps2")).alias("fps2"))
-    # one comparison of tiles may take seconds: they are dealt out one by one, not by bytes
-    pairs = pairs.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, sum(-(-n // p.tile) for n in sizes.values())))
+    # one comparison of tiles may take minutes: they are dealt out one by one, not by bytes
+    count = sum(-(-n // tile) for n in sizes.values())
+    pairs = pairs.repartition(max(fps.sparkSession.sparkContext.defaultParallelism, min(10_000, count * (count + 1) // 2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,7 +327,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
 
     Texts link if the Jaccard similarity of their shingle sets is at least ``num / den``. Candidates are the nearest pairs of
     128-bit fingerprints, a forest per pair of tiles, so a group of m copies has some m of them and not m * m;
-    each is verified on the shingles. Texts of one fingerprint are one class. Null texts and texts without words are
+    each is verified on the shingles, told apart by 32-bit hashes (of two texts of 20,000 words, some 0.1
+    shingles are taken for another). Texts of one fingerprint are one class. Null texts and texts without words are
     one class too; a null key gets the least known key of its group, if any.
     """
     small_batches(docs.sparkSession)
@@ -339,8 +344,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for f, t in zip(b.column(0), b.column(1), strict=True):
-                found = np.frombuffer(b"".join(d[:8] for d in shingle_digests(t.as_py(), p.width)), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([f.as_py()], pa.binary()), pa.array([found], pa.list_(pa.int64()))], ["fp", "s"])
+                found = np.frombuffer(b"".join(d[:4] for d in shingle_digests(t.as_py(), p.width)), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([f.as_py()], pa.binary()), pa.array([found], pa.list_(pa.int32()))], ["fp", "s"])
 
     own = cut(given.mapInArrow(prints, f"k {kind}, th long, fp binary, ones int"), "fp")
     distinct = cut(own.groupBy("fp", "ones").agg(F.min("k").alias("least"), F.min(F.struct("k", "th")).alias("one")), "fps")
@@ -348,10 +353,11 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
     ends = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
     sought = cut(distinct.join(ends, "fp").select("fp", "one.k", F.col("one.th").alias("th")), "sought")  # written, so its size is known
     texts = given.join(sought, given["k"].eqNullSafe(sought["k"]) & (given["th"] == sought["th"])).select("fp", "t")
-    shingled = cut(texts.mapInArrow(sets, "fp binary, s array<bigint>").dropDuplicates(["fp"]), "sets")
+    # rows that repeat key and text give a set more than once, and links more than once: components count them once
+    shingled = cut(texts.mapInArrow(sets, "fp binary, s array<int>"), "sets")
     one, two = (shingled.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}")) for c in "uv")
-    both = edges.join(one, "u").join(two, "v").withColumn("o", F.size(F.array_intersect("su", "sv")))
-    alike = cut(both.where(F.expr(f"{p.den} * o >= {p.num} * (size(su) + size(sv) - o)")).select("u", "v"), "alike")
+    both = edges.join(one, "u").join(two, "v").withColumn("o", F.size(F.array_intersect("su", "sv")))  # without repeats
+    alike = cut(both.where(F.expr(f"{p.den} * o >= {p.num} * (size(array_distinct(su)) + size(array_distinct(sv)) - o)")).select("u", "v"), "alike")
     return _grouped(own, distinct, alike, "k").select(F.col("k").alias(key), "component_id")
 
 
