@@ -355,7 +355,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
     texts = given.join(sought, given["k"].eqNullSafe(sought["k"]) & (given["th"] == sought["th"])).select("fp", "t")
     # rows that repeat key and text give a set more than once, and links more than once: components count them once
     shingled = cut(texts.mapInArrow(sets, "fp binary, s array<int>"), "sets")
-    one, two = (shingled.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}")) for c in "uv")
+    # sets grow with the corpus, so no size of theirs is broadcast
+    one, two = (shingled.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}")).hint("merge") for c in "uv")
     both = edges.join(one, "u").join(two, "v").withColumn("o", F.size(F.array_intersect("su", "sv")))  # without repeats
     alike = cut(both.where(F.expr(f"{p.den} * o >= {p.num} * (size(array_distinct(su)) + size(array_distinct(sv)) - o)")).select("u", "v"), "alike")
     return _grouped(own, distinct, alike, "k").select(F.col("k").alias(key), "component_id")
