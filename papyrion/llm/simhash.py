@@ -294,7 +294,7 @@ def candidates(fps: DataFrame, p: Copies = Copies()) -> DataFrame:
         return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
     tile = min(p.most, max(p.tile, sum(sizes.values()) // 64))
     pieces = F.array(*[F.lit(-(-sizes.get(c, 0) // tile)) for c in range(9)])
-    tiles = cell.withColumn("sub", F.pmod(F.xxhash64("fp"), F.get(pieces, "cell")).cast("int")).groupBy("cell", "sub").agg(F.collect_list("fp").alias("fps"))
+    tiles = cell.withColumn("sub", F.pmod(F.xxhash64("fp"), F.get(pieces, "cell")).cast("int")).groupBy("cell", "sub").agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # sorted: a rerun finds the same forest
     tiles = cut(tiles, "tiles")
     # a cell's counts end 15 above its least, so cells meet up to this many ahead
     ahead = F.sequence(F.col("cell"), F.least(F.lit(8), F.col("cell") + (p.radius + 15) // 16))
@@ -327,6 +327,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
 
     Texts link if the Jaccard similarity of their shingle sets is at least ``num / den``. Candidates are the nearest pairs of
     128-bit fingerprints, a forest per pair of tiles, so a group of m copies has some m of them and not m * m;
+    so a link can be missed where the forest's pair fails and one left out would have passed;
     each is verified on the shingles, told apart by 32-bit hashes (of two texts of 20,000 words, some 0.1
     shingles are taken for another). Texts of one fingerprint are one class. Null texts and texts without words are
     one class too; a null key gets the least known key of its group, if any.
