@@ -76,6 +76,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Words of 64 slots in a bit mask: as rows at most this many, some 10 MB as a hash table, whatever is masked.
+MASK_WORDS = 1 << 18
+
+
+def _slot(cols: Iterable[str]) -> Column:
+    return F.pmod(F.xxhash64(*cols), F.lit(MASK_WORDS * 64))
+
+
+def bit_mask(rows: DataFrame, *cols: str) -> DataFrame:
+    """``(word, bits)``: a bit for each slot that a hash of the columns falls into; ``MASK_WORDS`` rows at most."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (_slot(cols) % 64).cast("int"))
+    return rows.select(bit.alias("bits"), F.floor(_slot(cols) / 64).alias("word")).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+
+def masked(rows: DataFrame, mask: DataFrame, *cols: str) -> DataFrame:
+    """``rows`` with a column ``maybe``: false where no row behind the mask has these values in the columns.
+
+    It spares a shuffle the rows that a join would drop or leave alone; a join has to decide about the others, of which
+    some pass by chance: few while the mask stands for fewer than a million values, all when it is full.
+    ``rows`` must not have columns ``word``, ``bits`` and ``maybe``.
+    """
+    found = rows.withColumn("word", F.floor(_slot(cols) / 64)).join(F.broadcast(mask), "word", "left")
+    return found.withColumn("maybe", F.coalesce(F.getbit("bits", (_slot(cols) % 64).cast("int")) == 1, F.lit(False))).drop("word", "bits")
+
+
 def words(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

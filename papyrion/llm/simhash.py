@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import cut, small_batches
+from papyrion.llm.common import bit_mask, cut, masked, small_batches
 from papyrion.llm.components import components
 
 SEED = 42
@@ -215,9 +215,8 @@ def shingle_digests(text: str | None, width: int = 5) -> set[bytes]:
     return {digest(whole[i:j], SEED) for i, j in zip(start.tolist(), stop.tolist(), strict=True)}
 
 
-def wide_fingerprint(text: str | None, width: int = 5) -> bytes:
-    """128-bit SimHash over the different shingles of a text: 16 bytes, all zero for a text without words."""
-    found = shingle_digests(text, width)
+def wide_fingerprint(found: set[bytes]) -> bytes:
+    """128-bit SimHash over the hashes of a text's shingles: 16 bytes, all zero for none."""
     bits = np.frombuffer(b"".join(found), np.uint8).reshape(-1, 16)
     ones = np.zeros(128, np.int64)
     for k in range(0, len(bits), STEP):
@@ -248,11 +247,14 @@ def _forest(n: int, p: np.ndarray, q: np.ndarray, d: np.ndarray) -> tuple[np.nda
     return p[kept], q[kept], d[kept]
 
 
-def nearest_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 1024, strip: int = 256, most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+def nearest_pairs(
+    a: np.ndarray, b: np.ndarray | None, radius: int, block: int = 1024, strip: int = 256, most: int = 1 << 21, sizes: np.ndarray | None = None, ratio: tuple[int, int] = (0, 1)
+) -> tuple[np.ndarray, np.ndarray]:
     """Minimum spanning forest of all pairs within ``radius`` bits between two tiles (or inside one) of 128-bit fingerprints.
 
-    ``a`` and ``b`` have two 64-bit words a row; places in ``a`` followed by ``b`` come back. All pairs are compared;
-    those found are thinned to their forest whenever there are more than ``most``, which changes nothing, as the
+    ``a`` and ``b`` have two 64-bit words a row; places in ``a`` followed by ``b`` come back. All pairs are compared.
+    ``sizes`` of the sets, in the order of the places, leave out pairs whose lesser size is below ``ratio`` of the greater: their
+    similarity is lower still, so they must not take the place of others. Those found are thinned to their forest whenever there are more than ``most``, which changes nothing, as the
     forest of a union is within the union of forests.
     """
     right, shift = (a, 0) if b is None else (b, len(a))
@@ -270,6 +272,9 @@ def nearest_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, block: int =
                 p, q = p + k, q + j + shift
                 if b is None:
                     p, q, e = (c[q > p] for c in (p, q, e))
+                if sizes is not None:
+                    fit = ratio[1] * np.minimum(sizes[p], sizes[q]) >= ratio[0] * np.maximum(sizes[p], sizes[q])
+                    p, q, e = p[fit], q[fit], e[fit]
                 kept.append((p, q, e))
                 waiting += len(p)
                 if waiting > most:
@@ -282,13 +287,16 @@ def nearest_pairs(a: np.ndarray, b: np.ndarray | None, radius: int, block: int =
 
 
 def candidates(fps: DataFrame, p: Copies = Copies()) -> DataFrame:
-    """``fps(fp binary, ones int)`` distinct -> ``(u, v)``: per pair of tiles a minimum spanning forest of the pairs within the radius.
+    """``fps(fp binary, ones int, n int)`` distinct -> ``(u, v)``: per pair of tiles a minimum spanning forest of the pairs within the radius.
+
+    ``n`` is the size of the shingle set; pairs whose sizes rule out the similarity are left out before the forest.
 
     Cells hold 16 population counts each, large ones are cut into tiles; a tile meets those whose
     counts differ by no more than the radius. At this radius that rules out little: the cost is quadratic in
     the number of distinct fingerprints.
     """
-    cell = fps.select("fp", F.expr("ones div 16").cast("int").alias("cell"))
+    # the size follows the fingerprint in four bytes
+    cell = fps.select(F.concat("fp", F.unhex(F.lpad(F.hex("n"), 8, "0"))).alias("fp"), F.expr("ones div 16").cast("int").alias("cell"))
     sizes = {r["cell"]: r["n"] for r in cell.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # 9 rows at most
     if not sizes:
         return fps.select(F.col("fp").alias("u"), F.col("fp").alias("v"))
@@ -313,11 +321,13 @@ def candidates(fps: DataFrame, p: Copies = Copies()) -> DataFrame:
         for batch in batches:
             for a, b in zip(batch.column(0), batch.column(1), strict=True):
                 values = [a.as_py(), b.as_py() or []]
-                x, y = (np.frombuffer(b"".join(v), np.uint64).reshape(-1, 2) for v in values)
-                u, v = nearest_pairs(x, y if b.is_valid else None, p.radius)
+                x, y = (np.frombuffer(b"".join(v), [("fp", "<u8", 2), ("n", ">u4")]) for v in values)
+                sizes = np.concatenate([x["n"], y["n"]]).astype(np.int64)
+                fx, fy = (np.ascontiguousarray(v["fp"]) for v in (x, y))
+                u, v = nearest_pairs(fx, fy if b.is_valid else None, p.radius, sizes=sizes, ratio=(p.num, p.den))
                 if len(u):
-                    both = pa.array(values[0] + values[1], pa.binary())
-                    yield pa.RecordBatch.from_arrays([both.take(pa.array(u)), both.take(pa.array(v))], ["u", "v"])
+                    both = values[0] + values[1]
+                    yield pa.RecordBatch.from_arrays([pa.array([both[i][:16] for i in e.tolist()], pa.binary()) for e in (u, v)], ["u", "v"])
 
     return pairs.mapInArrow(run, "u binary, v binary").distinct()
 
@@ -338,24 +348,27 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [wide_fingerprint(t.as_py(), p.width) for t in b.column(1)]
+            made = [(wide_fingerprint(found), len(found)) for found in (shingle_digests(t.as_py(), p.width) for t in b.column(1))]
+            fps, sizes = [f for f, _ in made], pa.array([n for _, n in made], pa.int32())
             ones = [int.from_bytes(f).bit_count() for f in fps]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(ones, pa.int32())], ["k", "th", "fp", "ones"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(ones, pa.int32()), sizes], ["k", "th", "fp", "ones", "n"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for f, t in zip(b.column(0), b.column(1), strict=True):
-                found = np.frombuffer(b"".join(d[:4] for d in shingle_digests(t.as_py(), p.width)), np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([f.as_py()], pa.binary()), pa.array([found], pa.list_(pa.int32()))], ["fp", "s"])
+            for i in range(b.num_rows):
+                found = np.frombuffer(b"".join(d[:4] for d in shingle_digests(b.column(1)[i].as_py(), p.width)), np.int32)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), pa.array([found], pa.list_(pa.int32()))], ["k", "th", "s"])
 
-    own = cut(given.mapInArrow(prints, f"k {kind}, th long, fp binary, ones int"), "fp")
-    distinct = cut(own.groupBy("fp", "ones").agg(F.min("k").alias("least"), F.min(F.struct("k", "th")).alias("one")), "fps")
-    edges = cut(candidates(distinct.select("fp", "ones"), p), "candidates")
+    own = cut(given.mapInArrow(prints, f"k {kind}, th long, fp binary, ones int, n int"), "fp")
+    distinct = cut(own.groupBy("fp", "ones").agg(F.min("k").alias("least"), F.min(F.struct("k", "th", "n")).alias("one")), "fps")
+    edges = cut(candidates(distinct.select("fp", "ones", "one.n"), p), "candidates")
     ends = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
-    sought = cut(distinct.join(ends, "fp").select("fp", "one.k", F.col("one.th").alias("th")), "sought")  # written, so its size is known
-    texts = given.join(sought, given["k"].eqNullSafe(sought["k"]) & (given["th"] == sought["th"])).select("fp", "t")
+    sought = cut(distinct.join(ends, "fp").select("fp", "one.k", F.col("one.th").alias("th")), "sought")
+    # texts are not shuffled: the mask finds those that are sought where they lie, their sets are joined
+    texts = masked(given, bit_mask(sought, "k", "th"), "k", "th").where("maybe").select("k", "t", "th")
+    made = texts.mapInArrow(sets, f"k {kind}, th long, s array<int>").hint("merge")
     # rows that repeat key and text give a set more than once, and links more than once: components count them once
-    shingled = cut(texts.mapInArrow(sets, "fp binary, s array<int>"), "sets")
+    shingled = cut(made.join(sought, made["k"].eqNullSafe(sought["k"]) & (made["th"] == sought["th"])).select("fp", "s"), "sets")
     # sets grow with the corpus, so no size of theirs is broadcast
     one, two = (shingled.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}")).hint("merge") for c in "uv")
     both = edges.join(one, "u").join(two, "v").withColumn("o", F.size(F.array_intersect("su", "sv")))  # without repeats
@@ -370,11 +383,11 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Copi
     be told apart by key: all of them stay.
     """
     groups = cut(near_copies(docs, key, text, p).select(F.col(key).alias("k"), "component_id"), "groups")
-    # the keys that go and those that repeat are few beside the rows; both are written, so their size is known before the joins
     gone = cut(groups.where("k <> component_id").select("k").distinct(), "gone")
     again = cut(groups.where("k = component_id").groupBy("k").count().where("count > 1").select("k", F.lit(True).alias("twice")), "again")
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k"))
-    known = packed.join(gone, "k", "left_anti").join(again, "k", "left")
+    # rows whose key is in neither table stay as they are: the mask finds most of them, so that only the others are joined
+    packed = masked(docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("k")), bit_mask(gone.union(again.select("k")), "k"), "k")
+    known = packed.where("maybe").drop("maybe").join(gone, "k", "left_anti").join(again, "k", "left")
     first = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64(F.col("row").getField(text))))
     once = known.where("twice").withColumn("n", first).where("n = 1").drop("n")
-    return known.where("twice is null").unionByName(once).select("row.*")
+    return packed.where(~F.col("maybe")).select("row").union(known.where("twice is null").select("row")).union(once.select("row")).select("row.*")

@@ -256,7 +256,8 @@ def test_near_copies_of_one_text(spark):
     for tile in (32768, 40):
         got = {r.doc_id: r.component_id for r in simhash.near_copies(df, p=simhash.Copies(tile=tile)).collect()}
         assert got == {i: 0 if i < 300 else i for i, _ in rows}
-    found = simhash.candidates(df.sparkSession.createDataFrame([(f, int.from_bytes(f).bit_count()) for f in {simhash.wide_fingerprint(t) for _, t in rows}], "fp binary, ones int"))
+    prints = {simhash.wide_fingerprint(d): len(d) for d in (simhash.shingle_digests(t) for _, t in rows)}
+    found = simhash.candidates(df.sparkSession.createDataFrame([(f, int.from_bytes(f).bit_count(), n) for f, n in prints.items()], "fp binary, ones int, n int"))
     assert found.count() < 10 * len(rows)
 
 
