@@ -44,3 +44,10 @@ def test_query(spark, sf, duck, name):
 def test_flagship(spark, sf):
     found = catalog.flagship(spark, sf).collect()
     assert sum(r.n_docs for r in found) == 200
+
+
+def test_small_tables_are_spread_and_large_ones_are_not(spark, sf):
+    pages, n = catalog.table(spark, sf, "pages"), spark.sparkContext.defaultParallelism
+    assert catalog.spread(pages).rdd.getNumPartitions() == n
+    assert catalog.spread(pages, small=1).rdd.getNumPartitions() == pages.rdd.getNumPartitions()
+    assert catalog.spread(pages).count() == pages.count()
