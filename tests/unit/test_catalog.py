@@ -51,3 +51,16 @@ def test_small_tables_are_spread_and_large_ones_are_not(spark, sf):
     assert catalog.spread(pages).rdd.getNumPartitions() == n
     assert catalog.spread(pages, small=1).rdd.getNumPartitions() == pages.rdd.getNumPartitions()
     assert catalog.spread(pages).count() == pages.count()
+
+
+@pytest.mark.parametrize("name", ["financial_statements", "resumes"])
+def test_typed_documents_of_high_customer_numbers(spark, tmp_path, name):
+    duckdb = pytest.importorskip("duckdb")
+    path = str(tmp_path / "customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"copy (select unnest([0, 1, 270242, 270243, 899999, 5000003, 99999990])::bigint as c_custkey) to '{path}' (format parquet)")
+    con.execute(f"create view customer as select * from '{path}'")
+    df = catalog.QUERIES[name](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism  # one row group, yet all cores
+    made = con.execute(catalog.ORACLE_SQL[name])
+    assert rows(df.columns, df.collect()) == rows([c[0] for c in made.description], made.fetchall())
