@@ -169,9 +169,9 @@ def links(fps: DataFrame, radius: int = 4, tile: int = 65536) -> DataFrame:
     return pairs.mapInArrow(run, "u long, v long")
 
 
-def _grouped(own: DataFrame, distinct: DataFrame, edges: DataFrame, key: str) -> DataFrame:
-    """``own`` with ``component_id``, the least key of all fingerprints that the edges join to its own."""
-    groups = components(edges).withColumnRenamed("node", "fp")
+def _grouped(own: DataFrame, distinct: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``own`` with ``component_id``, the least key of all fingerprints that the components join to its own."""
+    groups = groups.withColumnRenamed("node", "fp")
     rooted = distinct.join(groups, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "lowest")
     ids = cut(rooted.join(lowest, "root").select("fp", "component_id"), "ids")
@@ -186,7 +186,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     own = cut(fingerprints(docs, key, text, width), "fp")
     distinct = cut(own.groupBy("fp").agg(F.min(key).alias("least")), "fps")
-    found = _grouped(own, distinct, links(distinct.select("fp"), radius), key)
+    found = _grouped(own, distinct, components(links(distinct.select("fp"), radius)), key)
     return found.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -332,12 +332,67 @@ def candidates(fps: DataFrame, p: Copies = Copies()) -> DataFrame:
     return pairs.mapInArrow(run, "u binary, v binary").distinct()
 
 
+BUCKETS = 1 << 17  # the first 17 bits of a shingle's hash
+
+
+def _ranks(given: DataFrame, width: int) -> np.ndarray:
+    """For each bucket of shingle hashes its rank by how often its shingles occur in the corpus, rarest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            for t in b.column(0):
+                np.add.at(seen, (_codes(shingle_digests(t.as_py(), width)) >> np.uint64(47)).astype(np.int64), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["b", "n"])
+
+    counts, ranks = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int32)
+    for b, n in given.select("t").mapInArrow(run, "b int, n long").groupBy("b").agg(F.sum("n")).collect():  # BUCKETS rows at most
+        counts[b] = n
+    ranks[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
+    return ranks
+
+
+def _codes(found: set[bytes]) -> np.ndarray:
+    """The first 64 bits of the hashes."""
+    return np.frombuffer(b"".join(found), np.uint64).reshape(-1, 2)[:, 0]
+
+
+def _prefix(found: set[bytes], ranks: np.ndarray, p: Copies) -> np.ndarray:
+    """The rarest codes of a set, of which two similar sets share one at least, in order."""
+    codes = _codes(found)
+    if not len(codes):
+        return codes.view(np.int64)
+    order = np.lexsort((codes, ranks[(codes >> np.uint64(47)).astype(np.int64)]))
+    return codes[order[: len(codes) - -(-p.num * len(codes) // p.den) + 1]].view(np.int64)
+
+
+def _across(own: DataFrame, groups: DataFrame, p: Copies) -> DataFrame:
+    """``(u, tu, v, tv)``: fingerprints and text hashes of all pairs of texts in different groups that may be similar enough.
+
+    Texts meet over the rarest shingles of their sets (prefix filter), subject to the length and positional filters. Shingles
+    of one group only, as those of most copies, lead to no pair.
+    """
+    numbers = cut(groups.select("root").distinct().withColumn("c", F.monotonically_increasing_id()), "numbers")
+    known = cut(groups.join(numbers, "root").select("fp", "c"), "numbered")
+    crossing = own.select("fp", "prefix").join(known, "fp").select("c", F.explode("prefix").alias("code")).groupBy("code").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    crossing = cut(crossing.where("lo < hi").select("code"), "crossing")
+    rows = masked(own.select("fp", "th", "n", F.posexplode("prefix").alias("k", "code")), bit_mask(crossing, "code"), "code").where("maybe").drop("maybe")
+    met = rows.join(crossing, "code", "left_semi").join(known, "fp").groupBy("code", "c").agg(F.collect_set(F.struct("fp", "th", "n", "k")).alias("texts"))
+    met = cut(met, "met")
+    one, two = (met.select("code", F.col("c").alias(f"c{x}"), F.col("texts").alias(f"texts{x}")) for x in "lr")
+    both = one.join(two, "code").where("cl < cr").select(F.explode("textsl").alias("l"), "textsr").select("l", F.explode("textsr").alias("r"))
+    fit = f"{p.den} * least(l.n, r.n) >= {p.num} * greatest(l.n, r.n) and {p.num + p.den} * least(l.n - l.k, r.n - r.k) >= {p.num} * (l.n + r.n)"
+    return both.where(fit).select(F.col("l.fp").alias("u"), F.col("l.th").alias("tu"), F.col("r.fp").alias("v"), F.col("r.th").alias("tv")).distinct()
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Copies = Copies()) -> DataFrame:
     """``(key, component_id)``: one row per row; ``component_id`` is the least key reachable over links.
 
-    Texts link if the Jaccard similarity of their shingle sets is at least ``num / den``. Candidates are the nearest pairs of
-    128-bit fingerprints, a forest per pair of tiles, so a group of m copies has some m of them and not m * m;
-    so a link can be missed where the forest's pair fails and one left out would have passed;
+    Texts link if the Jaccard similarity of their shingle sets is at least ``num / den``. First candidates are the nearest pairs of
+    128-bit fingerprints, a forest per pair of tiles, so a group of m copies has some m of them and not m * m.
+    Where a forest's pair fails or lies beyond the radius, others that pass may have been left out: so all pairs of texts that
+    are then in different groups and share one of their rarest shingles are candidates too, which leaves out no link;
     each is verified on the shingles, told apart by 32-bit hashes (of two texts of 20,000 words, some 0.1
     shingles are taken for another). Texts of one fingerprint are one class. Null texts and texts without words are
     one class too; a null key gets the least known key of its group, if any.
@@ -348,10 +403,11 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(wide_fingerprint(found), len(found)) for found in (shingle_digests(t.as_py(), p.width) for t in b.column(1))]
-            fps, sizes = [f for f, _ in made], pa.array([n for _, n in made], pa.int32())
+            made = [(wide_fingerprint(found), len(found), _prefix(found, ranks, p)) for found in (shingle_digests(t.as_py(), p.width) for t in b.column(1))]
+            fps, sizes = [f for f, _, _ in made], pa.array([n for _, n, _ in made], pa.int32())
+            heads = pa.array([c for _, _, c in made], pa.list_(pa.int64()))
             ones = [int.from_bytes(f).bit_count() for f in fps]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(ones, pa.int32()), sizes], ["k", "th", "fp", "ones", "n"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(ones, pa.int32()), sizes, heads], ["k", "th", "fp", "ones", "n", "prefix"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -359,7 +415,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
                 found = np.frombuffer(b"".join(d[:4] for d in shingle_digests(b.column(1)[i].as_py(), p.width)), np.int32)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), pa.array([found], pa.list_(pa.int32()))], ["k", "th", "s"])
 
-    own = cut(given.mapInArrow(prints, f"k {kind}, th long, fp binary, ones int, n int"), "fp")
+    ranks = _ranks(given, p.width)
+    own = cut(given.mapInArrow(prints, f"k {kind}, th long, fp binary, ones int, n int, prefix array<long>"), "fp")
     distinct = cut(own.groupBy("fp", "ones").agg(F.min("k").alias("least"), F.min(F.struct("k", "th", "n")).alias("one")), "fps")
     edges = cut(candidates(distinct.select("fp", "ones", "one.n"), p), "candidates")
     ends = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
@@ -372,8 +429,20 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
     # sets grow with the corpus, so no size of theirs is broadcast
     one, two = (shingled.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}")).hint("merge") for c in "uv")
     both = edges.join(one, "u").join(two, "v").withColumn("o", F.size(F.array_intersect("su", "sv")))  # without repeats
-    alike = cut(both.where(F.expr(f"{p.den} * o >= {p.num} * (size(array_distinct(su)) + size(array_distinct(sv)) - o)")).select("u", "v"), "alike")
-    return _grouped(own, distinct, alike, "k").select(F.col("k").alias(key), "component_id")
+    similar = F.expr(f"{p.den} * o >= {p.num} * (size(array_distinct(su)) + size(array_distinct(sv)) - o)")
+    alike = cut(both.where(similar).select("u", "v"), "alike")
+    groups = cut(components(alike), "components")
+    whole = distinct.select("fp").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    more = cut(_across(own, whole, p), "across")
+    ends = cut(more.select(F.col("tu").alias("th")).union(more.select(F.col("tv").alias("th"))).distinct(), "ends")
+    texts = masked(given, bit_mask(ends, "th"), "th").where("maybe").select("k", "t", "th")
+    made = texts.mapInArrow(sets, f"k {kind}, th long, s array<int>").hint("merge").join(ends, "th", "left_semi").groupBy("th").agg(F.first("s").alias("s"))
+    shingled = cut(made, "more-sets")
+    one, two = (shingled.select(F.col("th").alias(f"t{c}"), F.col("s").alias(f"s{c}")).hint("merge") for c in "uv")
+    links_left = cut(more.join(one, "tu").join(two, "tv").withColumn("o", F.size(F.array_intersect("su", "sv"))).where(similar).select("u", "v").distinct(), "more-alike")
+    if not links_left.isEmpty():
+        groups = components(alike.union(links_left))
+    return _grouped(own.drop("prefix"), distinct, groups, "k").select(F.col("k").alias(key), "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Copies = Copies()) -> DataFrame:

@@ -261,6 +261,27 @@ def test_near_copies_of_one_text(spark):
     assert found.count() < 10 * len(rows)
 
 
+def test_near_copies_lose_no_link(spark):
+    """Groups whose similarities lie about the threshold, where a forest of the nearest fingerprints can fail, and none at all."""
+    rng = random.Random(11)
+    rows = []
+    for g in range(40):
+        base = [f"g{g}w{i}" for i in range(60)]
+        for _ in range(12):
+            w = list(base)
+            for at in rng.sample(range(60), rng.choice((1, 2))):
+                w[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    roots = slow_copies([t for _, t in rows])
+    least = {}
+    for (i, _), r in zip(rows, roots):
+        least[r] = min(i, least.get(r, i))
+    for radius in (34, 0):
+        got = {r.doc_id: r.component_id for r in simhash.near_copies(df, p=simhash.Copies(radius=radius)).collect()}
+        assert got == {i: least[r] for (i, _), r in zip(rows, roots)}
+
+
 @pytest.mark.parametrize("most", [10, 1 << 21])
 def test_nearest_pairs_are_a_minimum_forest(most):
     rng = np.random.default_rng(3)
