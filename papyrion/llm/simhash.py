@@ -367,23 +367,57 @@ def _prefix(found: set[bytes], ranks: np.ndarray, p: Copies) -> np.ndarray:
     return codes[order[: len(codes) - -(-p.num * len(codes) // p.den) + 1]].view(np.int64)
 
 
+def sketch(found: set[bytes]) -> bytes:
+    """Parity sketch of a set: for each of two bits a member, rounded up to a power of two and 64 at least, whether an odd number of codes falls there."""
+    size = max(64, 1 << (2 * len(found) - 1).bit_length()) if found else 64
+    seen = np.bincount((_codes(found) & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((seen & 1).astype(np.uint8)).tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the larger folded to the size of the smaller: never more than members in which the sets do."""
+    x, y = sorted((np.frombuffer(v, np.uint64) for v in (a, b)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _sketched(pairs: DataFrame, sketches: DataFrame, on: tuple[str, str], p: Copies) -> DataFrame:
+    """Those ``pairs`` whose sketches do not rule out the similarity; ``sketches(id, n, sk)`` has a row for each id in the columns ``on``."""
+    one, two = (sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{s}"), F.col("sk").alias(f"s{s}")) for c, s in zip(on, "uv", strict=True))
+    both = pairs.join(one, on[0]).join(two, on[1]).select(*pairs.columns, "nu", "su", "nv", "sv")
+    width = len(pairs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(width + i).to_pylist() for i in range(4)), strict=True)
+            fit = [(p.num + p.den) * sketch_distance(su, sv) <= (p.den - p.num) * (nu + nv) for nu, su, nv, sv in rows]
+            yield b.select(list(range(width))).filter(pa.array(fit, pa.bool_()))
+
+    return both.mapInArrow(run, pairs.schema)
+
+
 def _across(own: DataFrame, groups: DataFrame, p: Copies) -> DataFrame:
-    """``(u, tu, v, tv)``: fingerprints and text hashes of all pairs of texts in different groups that may be similar enough.
+    """``(tu, tv)``: text hashes of all pairs of texts in different groups that may be similar enough.
 
     Texts meet over the rarest shingles of their sets (prefix filter), subject to the length and positional filters. Shingles
     of one group only, as those of most copies, lead to no pair.
     """
     numbers = cut(groups.select("root").distinct().withColumn("c", F.monotonically_increasing_id()), "numbers")
-    known = cut(groups.join(numbers, "root").select("fp", "c"), "numbered")
-    crossing = own.select("fp", "prefix").join(known, "fp").select("c", F.explode("prefix").alias("code")).groupBy("code").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    known = groups.join(numbers, "root").select("fp", "c")
+    # the prefixes are shuffled once, to their groups' numbers
+    heads = cut(own.select("fp", "th", "n", "prefix").join(known, "fp").select("c", "th", "n", "prefix"), "heads")
+    crossing = heads.select("c", F.explode("prefix").alias("code")).groupBy("code").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     crossing = cut(crossing.where("lo < hi").select("code"), "crossing")
-    rows = masked(own.select("fp", "th", "n", F.posexplode("prefix").alias("k", "code")), bit_mask(crossing, "code"), "code").where("maybe").drop("maybe")
-    met = rows.join(crossing, "code", "left_semi").join(known, "fp").groupBy("code", "c").agg(F.collect_set(F.struct("fp", "th", "n", "k")).alias("texts"))
+    rows = masked(heads.select("c", "th", "n", F.posexplode("prefix").alias("k", "code")), bit_mask(crossing, "code"), "code").where("maybe").drop("maybe")
+    met = rows.join(crossing, "code", "left_semi").repartition("code", "c").groupBy("code", "c").agg(F.collect_set(F.struct("th", "n", "k")).alias("texts"), F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("k")).alias("rest"))
     met = cut(met, "met")
-    one, two = (met.select("code", F.col("c").alias(f"c{x}"), F.col("texts").alias(f"texts{x}")) for x in "lr")
-    both = one.join(two, "code").where("cl < cr").select(F.explode("textsl").alias("l"), "textsr").select("l", F.explode("textsr").alias("r"))
+    one, two = (met.select("code", *[F.col(c).alias(f"{c}{x}") for c in ("c", "texts", "least", "most", "rest")]) for x in "lr")
+    # groups of which no two texts can pass the filters below do not meet
+    may = f"cl < cr and {p.den} * mostl >= {p.num} * leastr and {p.den} * mostr >= {p.num} * leastl and {p.num + p.den} * least(restl, restr) >= {p.num} * (leastl + leastr)"
+    both = one.join(two, "code").where(may).select(F.explode("textsl").alias("l"), "textsr").select("l", F.explode("textsr").alias("r"))
     fit = f"{p.den} * least(l.n, r.n) >= {p.num} * greatest(l.n, r.n) and {p.num + p.den} * least(l.n - l.k, r.n - r.k) >= {p.num} * (l.n + r.n)"
-    return both.where(fit).select(F.col("l.fp").alias("u"), F.col("l.th").alias("tu"), F.col("r.fp").alias("v"), F.col("r.th").alias("tv")).distinct()
+    return both.where(fit).select(F.col("l.th").alias("tu"), F.col("r.th").alias("tv")).distinct()
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Copies = Copies()) -> DataFrame:
@@ -392,8 +426,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
     Texts link if the Jaccard similarity of their shingle sets is at least ``num / den``. First candidates are the nearest pairs of
     128-bit fingerprints, a forest per pair of tiles, so a group of m copies has some m of them and not m * m.
     Where a forest's pair fails or lies beyond the radius, others that pass may have been left out: so all pairs of texts that
-    are then in different groups and share one of their rarest shingles are candidates too, which leaves out no link;
-    each is verified on the shingles, told apart by 32-bit hashes (of two texts of 20,000 words, some 0.1
+    are then in different groups and share one of their rarest shingles are candidates too, which leaves out no link.
+    Parity sketches, of which two cannot differ more than their sets, spare most candidates the exchange of sets; each that is left
+    is verified on the shingles, told apart by 32-bit hashes (of two texts of 20,000 words, some 0.1
     shingles are taken for another). Texts of one fingerprint are one class. Null texts and texts without words are
     one class too; a null key gets the least known key of its group, if any.
     """
@@ -403,22 +438,23 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [(wide_fingerprint(found), len(found), _prefix(found, ranks, p)) for found in (shingle_digests(t.as_py(), p.width) for t in b.column(1))]
-            fps, sizes = [f for f, _, _ in made], pa.array([n for _, n, _ in made], pa.int32())
-            heads = pa.array([c for _, _, c in made], pa.list_(pa.int64()))
+            made = [(wide_fingerprint(found), len(found), _prefix(found, ranks, p), sketch(found)) for found in (shingle_digests(t.as_py(), p.width) for t in b.column(1))]
+            fps, sizes = [m[0] for m in made], pa.array([m[1] for m in made], pa.int32())
+            heads, sketches = pa.array([m[2] for m in made], pa.list_(pa.int64())), pa.array([m[3] for m in made], pa.binary())
             ones = [int.from_bytes(f).bit_count() for f in fps]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(ones, pa.int32()), sizes, heads], ["k", "th", "fp", "ones", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(ones, pa.int32()), sizes, heads, sketches], ["k", "th", "fp", "ones", "n", "prefix", "sk"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                found = np.frombuffer(b"".join(d[:4] for d in shingle_digests(b.column(1)[i].as_py(), p.width)), np.int32)
+                found = np.unique(np.frombuffer(b"".join(d[:4] for d in shingle_digests(b.column(1)[i].as_py(), p.width)), np.int32))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(2).slice(i, 1), pa.array([found], pa.list_(pa.int32()))], ["k", "th", "s"])
 
     ranks = _ranks(given, p.width)
-    own = cut(given.mapInArrow(prints, f"k {kind}, th long, fp binary, ones int, n int, prefix array<long>"), "fp")
-    distinct = cut(own.groupBy("fp", "ones").agg(F.min("k").alias("least"), F.min(F.struct("k", "th", "n")).alias("one")), "fps")
+    own = cut(given.mapInArrow(prints, f"k {kind}, th long, fp binary, ones int, n int, prefix array<long>, sk binary"), "fp")
+    distinct = cut(own.groupBy("fp", "ones").agg(F.min("k").alias("least"), F.min(F.struct("k", "th", "n", "sk")).alias("one")), "fps")
     edges = cut(candidates(distinct.select("fp", "ones", "one.n"), p), "candidates")
+    edges = cut(_sketched(edges, distinct.select(F.col("fp").alias("id"), "one.n", "one.sk"), ("u", "v"), p), "near")
     ends = edges.select(F.col("u").alias("fp")).union(edges.select(F.col("v").alias("fp"))).distinct()
     sought = cut(distinct.join(ends, "fp").select("fp", "one.k", F.col("one.th").alias("th")), "sought")
     # texts are not shuffled: the mask finds those that are sought where they lie, their sets are joined
@@ -428,21 +464,28 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Cop
     shingled = cut(made.join(sought, made["k"].eqNullSafe(sought["k"]) & (made["th"] == sought["th"])).select("fp", "s"), "sets")
     # sets grow with the corpus, so no size of theirs is broadcast
     one, two = (shingled.select(F.col("fp").alias(c), F.col("s").alias(f"s{c}")).hint("merge") for c in "uv")
-    both = edges.join(one, "u").join(two, "v").withColumn("o", F.size(F.array_intersect("su", "sv")))  # without repeats
-    similar = F.expr(f"{p.den} * o >= {p.num} * (size(array_distinct(su)) + size(array_distinct(sv)) - o)")
-    alike = cut(both.where(similar).select("u", "v"), "alike")
+    # the sets are without repeats; they are intersected once, as joins compute a condition's parts as often as it names them
+    similar = F.expr(f"{p.num + p.den} * size(array_intersect(su, sv)) >= {p.num} * (size(su) + size(sv))")
+    alike = cut(edges.join(one, "u").join(two, "v").where(similar).select("u", "v"), "alike")
     groups = cut(components(alike), "components")
     whole = distinct.select("fp").join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
     more = cut(_across(own, whole, p), "across")
-    ends = cut(more.select(F.col("tu").alias("th")).union(more.select(F.col("tv").alias("th"))).distinct(), "ends")
+    ends_of = lambda pairs: pairs.select(F.col("tu").alias("th")).union(pairs.select(F.col("tv").alias("th"))).distinct()
+    ends = cut(ends_of(more), "met-ends")
+    found = masked(own.select("th", "n", "sk", "fp"), bit_mask(ends, "th"), "th").where("maybe").join(ends, "th", "left_semi")
+    sketches = cut(found.groupBy(F.col("th").alias("id")).agg(F.first("n").alias("n"), F.first("sk").alias("sk"), F.min("fp").alias("fp")), "sketches")
+    more = cut(_sketched(more, sketches, ("tu", "tv"), p), "more-near")
+    ends = cut(ends_of(more), "ends")
     texts = masked(given, bit_mask(ends, "th"), "th").where("maybe").select("k", "t", "th")
     made = texts.mapInArrow(sets, f"k {kind}, th long, s array<int>").hint("merge").join(ends, "th", "left_semi").groupBy("th").agg(F.first("s").alias("s"))
     shingled = cut(made, "more-sets")
     one, two = (shingled.select(F.col("th").alias(f"t{c}"), F.col("s").alias(f"s{c}")).hint("merge") for c in "uv")
-    links_left = cut(more.join(one, "tu").join(two, "tv").withColumn("o", F.size(F.array_intersect("su", "sv"))).where(similar).select("u", "v").distinct(), "more-alike")
+    links_left = cut(more.join(one, "tu").join(two, "tv").where(similar).select("tu", "tv"), "more-alike")
+    one, two = (sketches.select(F.col("id").alias(f"t{c}"), F.col("fp").alias(c)) for c in "uv")
+    links_left = links_left.join(one, "tu").join(two, "tv").select("u", "v").distinct()
     if not links_left.isEmpty():
         groups = components(alike.union(links_left))
-    return _grouped(own.drop("prefix"), distinct, groups, "k").select(F.col("k").alias(key), "component_id")
+    return _grouped(own.drop("prefix", "sk"), distinct, groups, "k").select(F.col("k").alias(key), "component_id")
 
 
 def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Copies = Copies()) -> DataFrame:

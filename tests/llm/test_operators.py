@@ -282,6 +282,21 @@ def test_near_copies_lose_no_link(spark):
         assert got == {i: least[r] for (i, _), r in zip(rows, roots)}
 
 
+def test_sketches_never_rule_out_a_link(spark):
+    """Sketches differ in no more bits than their sets do in members, whatever their sizes; sets of few shared members are told apart."""
+    rng, p = random.Random(7), simhash.Copies()
+    members = lambda n: {rng.randbytes(16) for _ in range(n)}
+    for n, extra in [(0, 0), (1, 0), (1, 1), (31, 3), (32, 1), (33, 2), (60, 70), (400, 50), (1000, 100), (1024, 1100)]:
+        a = members(n)
+        b = set(sorted(a)[extra // 2 :]) | members(extra)
+        assert simhash.sketch_distance(simhash.sketch(a), simhash.sketch(b)) <= len(a ^ b)
+    one, same, other = (members(300) for _ in range(3))
+    same = set(sorted(one)[20:]) | set(sorted(same)[:20])
+    sketches = spark.createDataFrame([(i, len(s), simhash.sketch(s)) for i, s in enumerate((one, same, other))], "id long, n int, sk binary")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "u long, v long")
+    assert [tuple(r) for r in simhash._sketched(pairs, sketches, ("u", "v"), p).collect()] == [(0, 1)]
+
+
 @pytest.mark.parametrize("most", [10, 1 << 21])
 def test_nearest_pairs_are_a_minimum_forest(most):
     rng = np.random.default_rng(3)
