@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from papyrion.llm.common import GAP, cut
+from papyrion.llm.common import GAP, bit_mask, cut, masked
 
 BUCKETS = 1 << 17  # the first 17 bits of a hash
 MASK_WORDS = 1 << 16
@@ -121,10 +121,13 @@ def _may_match(p: Params) -> Column:
 def candidates(rows: DataFrame, many: DataFrame, p: Params) -> DataFrame:
     """``(a, b)``: classes, by the number of their first line, that share a key and may match.
 
-    The short sketch travels with the keys; the long one is fetched for the pairs that pass it.
+    The short sketch travels with the keys; the long one is fetched for the pairs that pass it. Only lines
+    whose sets may be repeated, by a bit mask, are shuffled to learn which come first.
     """
-    heads = rows.join(many.select("cid", "id2", F.col("first.ord").alias("head")), ["cid", "id2"], "left").where("head is null or head = ord")
-    keys = _keys(heads, p)
+    first = many.select("cid", "id2", F.col("first.ord").alias("head"))
+    told, own = masked(rows, bit_mask(first, "cid", "id2"), "cid", "id2"), ["ord", "n", "x", "prefix"]
+    heads = told.where("maybe").join(first, ["cid", "id2"], "left").where("head is null or head = ord").select(own)
+    keys = _keys(told.where(~F.col("maybe")).select(own).union(heads), p)
     joined = keys.alias("l").join(keys.alias("r"), F.expr("l.token = r.token") & _may_match(p))
     met = joined.select(F.col("l.ord").alias("a"), F.col("r.ord").alias("b")).distinct()
     one, two = (rows.select(F.col("ord").alias(o), F.col("n").alias(f"n{o}"), F.col("y").alias(f"y{o}"), F.expr("x ^ y").alias(f"z{o}")) for o in "ab")
@@ -153,9 +156,10 @@ def verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, p: Params, key:
     found = maybe.join(first, on).select("ord", "n", F.struct(first["key"], first["th"], first["line_no"]).alias("at"), "line").groupBy("ord").agg(*[F.first(c).alias(c) for c in ("n", "at", "line")])
     one, two = (found.select(F.col("ord").alias(o), F.col("n").alias(f"n{o}"), F.col("at").alias(f"at{o}"), F.col("line").alias(f"line{o}")) for o in "ab")
     tokens = lambda c: F.array_remove(F.split(c, GAP), "")
-    both = pairs.join(one, "a").join(two, "b").withColumn("o", F.size(F.array_intersect(tokens("linea"), tokens("lineb"))))
+    # one mention of the tokens that are shared: joins compute a condition's parts as often as it names them
+    similar = F.size(F.array_intersect(tokens("linea"), tokens("lineb"))) * (p.num + p.den) >= F.expr(f"{p.num} * (na + nb)")
     swap = F.col("ata") > F.col("atb")
-    return both.where(F.expr(f"{p.den} * o >= {p.num} * (na + nb - o)")).select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    return pairs.join(one, "a").join(two, "b").where(similar).select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
 
 
 def matched(docs: DataFrame, p: Params = Params(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
