@@ -784,6 +784,15 @@ def test_lines_random(spark):
         assert got == slow_lines(rows), short
 
 
+def test_lines_of_a_pair_are_intersected_once(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g h i j\na b c d e f g h i k\nz"), (2, "a b c d e f g h i j\nx y")], "doc_id long, text string")
+    p = line_dedup.Params()
+    rows, many, found = line_dedup.matched(df, p)
+    assert found.count() == 1
+    plan = line_dedup.verified(df, rows, line_dedup.candidates(rows, many, p), p)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1
+
+
 def test_lines_lose_no_link(spark):
     """One large group whose classes share their keys, as on skewed data: every link counts, not only those to the hub."""
     base = [f"w{k}" for k in range(12)]
